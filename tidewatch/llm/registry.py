@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import minhash_dedup, substring_dedup
 
-MODULES = (substring_dedup,)
+MODULES = (minhash_dedup, substring_dedup)
 
 
 def queries() -> dict:

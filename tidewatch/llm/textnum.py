@@ -34,7 +34,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["q"][:n]
 
 
-def _span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Order-sensitive hash of values[start:end] for each span, in O(1) a span."""
     p, q = _power(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
@@ -59,7 +59,7 @@ class Words:
         self.doc = np.searchsorted(first, self.starts, "right") - 1
         self.counts = np.bincount(self.doc, minlength=len(parts)).astype(np.int64)
         self.first = np.cumsum(self.counts) - self.counts
-        self.hashes = _span_hash(_BYTES[raw], self.starts, self.ends)
+        self.hashes = span_hash(_BYTES[raw], self.starts, self.ends)
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -70,7 +70,7 @@ class Words:
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.doc[:n] == self.doc[width - 1 :])
-        return at, _span_hash(self.hashes, at, at + width)
+        return at, span_hash(self.hashes, at, at + width)
 
 
 def blocks(texts: list[str | None], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
