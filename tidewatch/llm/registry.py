@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, substring_dedup
+from pyspark.sql import DataFrame, SparkSession
 
-MODULES = (minhash_dedup, substring_dedup)
+from . import (
+    compression_quality,
+    decontamination,
+    minhash_dedup,
+    packing,
+    quotations,
+    rendezvous,
+    secret_scan,
+    substring_dedup,
+    token_attribution,
+    weak_rules,
+)
+
+MODULES = (
+    quotations,
+    compression_quality,
+    rendezvous,
+    packing,
+    minhash_dedup,
+    secret_scan,
+    weak_rules,
+    decontamination,
+    token_attribution,
+    substring_dedup,
+)
 
 
 def queries() -> dict:
