@@ -76,7 +76,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, and never a negative zero."""
-    return df.select([(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select([(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def add(name: str, func: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -249,8 +249,8 @@ SELECT ts, {_r('clean - avg(clean) OVER (PARTITION BY p)')} AS clean FROM i""",
 )
 _TREND = """i AS (SELECT *, (row_number() OVER (ORDER BY ts) - 1) % 7 AS p, CASE WHEN count(clean) OVER w = 7 THEN avg(clean) OVER w END AS m
   FROM s WINDOW w AS (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-g AS (SELECT p, avg(clean - m) AS a FROM i GROUP BY p), z AS (SELECT p, a - (SELECT avg(a) FROM g) AS a FROM g),
-res AS (SELECT ts, clean - m - a AS x FROM i JOIN z USING (p))"""
+g AS (SELECT p, avg(clean - m) AS a FROM i GROUP BY p), pf AS (SELECT p, a - (SELECT avg(a) FROM g) AS a FROM g),
+res AS (SELECT ts, clean - m - a AS x FROM i JOIN pf USING (p))"""
 add(
     "seasonal_trend",
     lambda spark, sf: rounded(T.ClassicSeasonalDecomposition(7, trend=True).fit_transform(daily(spark, sf), CLEAN)),
