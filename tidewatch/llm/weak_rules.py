@@ -8,6 +8,12 @@ pass.  Patterns are counted by an aggregate first: with nine rules there are
 at most 3**9 of them at any corpus size, and only those counts reach the
 driver.
 
+A bad text mostly has one fault, so each rule sees few of the bad texts.  The
+estimates therefore start from, and are held near, what the rules are written
+for: they seldom condemn a good text (``SPECIFIC``), they are better than
+chance, and most texts are good (``SHARE``).  A text that no rule condemns is
+then always kept.
+
 Everything per text is built-in column functions inside one row; the text is
 never shuffled and is read once.  Nulls and empty texts have no words and fail.
 """
@@ -22,6 +28,9 @@ from pyspark.sql import functions as F
 from .common import materialise, read_table
 
 WINDOW = 8
+SHARE = 0.8
+SPECIFIC = 0.99
+CAUGHT = 0.3
 _BLANK = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 ROUNDS = 60
@@ -95,7 +104,7 @@ def rules() -> dict[str, Column]:
     return {
         "long_enough": F.when(F.col("n_words") >= 40, 1).when(F.col("n_words") < 20, 0),
         "word_length": F.when((F.col("word_chars") / n).between(3, 9), 1).otherwise(0),
-        "symbols": low(F.col("n_symbols") / n, 0.02, 0.1),
+        "symbols": low((F.col("n_symbols") - F.col("n_pipes")) / n, 0.02, 0.1),
         "dup_lines": F.when(F.col("n_lines") >= 4, low(F.col("n_dup_lines") / lines, 0.05, 0.3)),
         "repeats": low(F.col("n_repeat_words") / n, 0.05, 0.2),
         "capitals": low(F.col("n_upper") / chars, 0.1, 0.3),
@@ -108,10 +117,11 @@ def rules() -> dict[str, Column]:
 def expectation_maximisation(patterns: list[tuple[tuple, int]], n_rules: int, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
     """Share of good texts, and each rule's chance to be right about good and bad ones.
 
-    ``patterns`` are (votes, count).  Starts from rules that are right four
-    times in five; counts are smoothed so that no chance becomes 0 or 1.
+    ``patterns`` are (votes, count).  The share and the chances for good texts
+    are averaged with their priors at the weight of the whole corpus, so they
+    behave alike at every size.
     """
-    share, right = 0.5, [(0.8, 0.8)] * n_rules
+    share, right = SHARE, [(SPECIFIC, CAUGHT)] * n_rules
     patterns = sorted(patterns, key=lambda p: [-1 if v is None else v for v in p[0]])
     total = sum(c for _, c in patterns)
     for _ in range(rounds if total else 0):
@@ -126,9 +136,10 @@ def expectation_maximisation(patterns: list[tuple[tuple, int]], n_rules: int, ro
                     h[1] += p * v
                     h[2] += count - p
                     h[3] += (count - p) * (1 - v)
-        share = (good + 1) / (total + 2)
-        # A rule is taken to be right more often than not, which keeps the classes from trading names.
-        right = [(max(0.5, (h[1] + 4) / (h[0] + 5)), max(0.5, (h[3] + 4) / (h[2] + 5))) for h in hit]
+        share = (good + 2 * total * SHARE) / (3 * total)
+        right = [
+            ((h[1] + total * SPECIFIC) / (h[0] + total), max(1 - SPECIFIC, (h[3] + 4 * CAUGHT) / (h[2] + 4))) for h in hit
+        ]
     return share, right
 
 
