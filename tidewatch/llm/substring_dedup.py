@@ -245,10 +245,11 @@ def removals(
     windows = materialise(
         some.mapInArrow(_emit_windows(width, anchor), "w long, ref long, start int"), "windows"
     )
-    twice = windows.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("ref", "start")).alias("at"))
-    twice = materialise(twice.where("n > 1"), "confirmed")
-    top = twice.orderBy(F.desc("n"), "w").limit(heavy)
-    pick = top.groupBy(F.col("at.ref").alias("ref")).agg(F.collect_list("at.start").alias("starts"))
+    twice = materialise(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "confirmed")
+    top = twice.orderBy(F.desc("n"), "w").limit(heavy).select("w")
+    # One place of each heavy window; only they carry a place through a shuffle.
+    place = windows.join(F.broadcast(top), "w").groupBy("w").agg(F.min(F.struct("ref", "start")).alias("at"))
+    pick = place.groupBy(F.col("at.ref").alias("ref")).agg(F.collect_list("at.start").alias("starts"))
     cut = (
         some.select("ref", "text")
         .join(F.broadcast(pick), "ref")
@@ -256,7 +257,7 @@ def removals(
         .mapInArrow(_cut(width), "passage binary")
     )
     passages = spark.sparkContext.broadcast(sorted({bytes(r.passage) for r in cut.collect()}))
-    tail = twice.join(F.broadcast(top.select("w")), "w", "left_anti").select("w")
+    tail = twice.join(F.broadcast(top), "w", "left_anti").select("w")
     starts = windows.join(tail, "w").groupBy("ref").agg(F.collect_set("start").alias("starts"))
     return (
         some.select("ref", "text")
