@@ -18,7 +18,7 @@ from .intervals import coverage, intersect_events, total_length, union_events, v
 def as_label(v: Column) -> Column:
     """Clipped to 0..1 and rounded half to even, as a boolean."""
     v = v.cast("double")
-    return F.bround(F.greatest(F.least(v, F.lit(1.0)), v * 0)) == 1
+    return F.when(v.isNotNull() & ~F.isnan(v), F.bround(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))) == 1)
 
 
 def _ratio(a: Column, b: Column) -> Column:
