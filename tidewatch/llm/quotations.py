@@ -192,19 +192,49 @@ QUERIES = {"op1_quotation_linking": query}
 
 ORACLE = {
     "op1_quotation_linking": r"""
-WITH l AS (
-  SELECT conv_id, coalesce(turn, -1) AS pos, turn, role, coalesce(text, '') AS text,
+WITH RECURSIVE l AS (
+  SELECT row_number() OVER () AS rid, conv_id, coalesce(turn, -1) AS pos, turn, role, coalesce(text, '') AS text,
     [{'level': length(regexp_replace(regexp_extract(x, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')),
       'body': regexp_replace(x, '^[ \t]*((?:>[ \t]?)+)', '')}
      for x in regexp_split_to_array(coalesce(text, ''), '\r?\n')] AS lines
   FROM conversations),
 m AS (
-  SELECT *, len(list_filter(lines, lambda x: x.level > 0)) > 0 AS has FROM l)
-SELECT conv_id, turn, role,
-  CASE WHEN has THEN trim(array_to_string([x.body for x in lines if x.level = 0], chr(10)), E' \t\r\n') ELSE text END AS clean_text,
-  len([i for i in range(1, len(lines) + 1)
-       if lines[i].level > 0 and (i = 1 or lines[i].level <> lines[i - 1].level)])::BIGINT AS n_quotes,
-  0::BIGINT AS n_linked, NULL::BIGINT AS parent_turn, pos AS root_turn, 0::BIGINT AS depth
+  SELECT *, CASE WHEN len(list_filter(lines, lambda x: x.level > 0)) > 0
+    THEN trim(array_to_string([x.body for x in lines if x.level = 0], chr(10)), E' \t\r\n') ELSE text END AS clean_text
+  FROM l),
+u AS (SELECT rid, conv_id, pos, i, lines[i].level AS level, lines[i].body AS body FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l)),
+v AS (SELECT *, level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY i) AS new FROM u),
+w AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM v),
+p AS (
+  SELECT rid, conv_id, pos, run, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS body FROM w GROUP BY ALL),
+r AS (
+  SELECT conv_id, pos, run, level, body FROM p WHERE level > 0
+  UNION ALL SELECT conv_id, pos, run, level, body FROM w WHERE level > 0),
+f AS (
+  SELECT conv_id, pos, body FROM w WHERE level = 0
+  UNION ALL SELECT conv_id, pos, body FROM p WHERE level = 0
+  UNION ALL SELECT conv_id, pos, clean_text FROM m),
+g AS (SELECT conv_id, lower(trim(regexp_replace(body, '[\x20\x09-\x0D\x{A0}]+', ' ', 'g'))) AS n, min(pos) AS origin FROM f GROUP BY ALL),
+q AS (SELECT *, lower(trim(regexp_replace(body, '[\x20\x09-\x0D\x{A0}]+', ' ', 'g'))) AS n FROM r),
+h AS (
+  SELECT q.conv_id, q.pos, q.run, q.level, length(q.body) AS weight, g.origin
+  FROM q JOIN g ON q.conv_id IS NOT DISTINCT FROM g.conv_id AND q.n = g.n AND q.n <> '' AND g.origin < q.pos),
+s AS (SELECT conv_id, pos, level, origin, sum(weight) AS w FROM h GROUP BY ALL),
+b AS (
+  SELECT conv_id, pos, arg_max(origin, {'l': -level, 'w': w, 'o': origin}) AS parent FROM s GROUP BY ALL),
+k AS (SELECT conv_id, pos, count(DISTINCT run) AS n_linked FROM h GROUP BY ALL),
+t AS (
+  SELECT conv_id, pos, parent AS root, 1 AS depth FROM b
+  UNION ALL
+  SELECT t.conv_id, t.pos, b.parent, t.depth + 1 FROM t JOIN b ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.root = b.pos),
+o AS (SELECT conv_id, pos, min(root) AS root, max(depth) AS depth FROM t GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, m.clean_text,
+  (SELECT count(*) FROM p WHERE p.rid = m.rid AND p.level > 0)::BIGINT AS n_quotes,
+  coalesce(k.n_linked, 0)::BIGINT AS n_linked, b.parent::BIGINT AS parent_turn,
+  coalesce(o.root, m.pos)::BIGINT AS root_turn, coalesce(o.depth, 0)::BIGINT AS depth
 FROM m
+LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM m.conv_id AND k.pos = m.pos
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.pos = m.pos
+LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM m.conv_id AND o.pos = m.pos
 """
 }

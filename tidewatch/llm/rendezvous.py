@@ -89,17 +89,19 @@ def _oracle(shards: int = SHARDS) -> str:
         f"{{'b': -1.0 / ln((('0x' || md5(k || ':{s}')[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0), 's': -{s}}}"
         for s in range(shards + 1)
     )
-    table = [n for n in range(256)]
-    for _ in range(8):
+    table = list(range(16))
+    for _ in range(4):
         table = [n >> 1 ^ (0xEDB88320 if n & 1 else 0) for n in table]
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (
+  SELECT *, [instr('0123456789ABCDEF', x[i + 1 - 2 * (i % 2) + 1]) - 1 for i in range(length(x))] AS half FROM d),
 c AS (
   SELECT doc_id, k, length(x) // 2 + 1 AS size,
-    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || x[2 * i + 1:2 * i + 2])::BIGINT for i in range(length(x) // 2)]),
-      lambda a, b: xor(a >> 8, ({table}::BIGINT[])[xor(a & 255, b) + 1]))) AS text_crc32
-  FROM d),
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, half),
+      lambda a, b: xor(a >> 4, ({table}::BIGINT[])[(xor(a, b) & 15) + 1]))) AS text_crc32
+  FROM n),
 b AS (
   SELECT *, md5(k || '/' || text_crc32::VARCHAR)[1:3] AS bucket, [
     {bids}] AS bids FROM c),
