@@ -74,7 +74,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("value", F.when(F.col("event_id") % 17 != 0, F.col("value")))
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, and never a negative zero."""
     return df.select([(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
@@ -85,7 +85,7 @@ def add(name: str, func: Callable[[SparkSession, str], DataFrame], sql: str | No
         ORACLE[name] = sql
 
 
-def _r(x: str, digits: int = 6) -> str:
+def _r(x: str, digits: int = 9) -> str:
     return f"round({x}, {digits}) + 0.0"
 
 
@@ -112,13 +112,13 @@ _ROLL = {
 }
 
 
-def _roll(agg, digits=6, **how):
+def _roll(agg, digits=9, **how):
     return lambda spark, sf: rounded(T.RollingAggregate(7, agg, **how).transform(daily(spark, sf), DAILY), digits)
 
 
 _W7 = "WINDOW w AS (ORDER BY ts ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"
 for _agg, _sql in _ROLL.items():
-    _d = 3 if _agg in ("var", "skew", "kurt") else 6
+    _d = {"var": 5, "skew": 5, "kurt": 3}.get(_agg, 9)
     add(
         f"rolling_{_agg}",
         _roll(_agg, _d),
@@ -183,8 +183,8 @@ add(
 )
 add(
     "rolling_offset",
-    lambda spark, sf: rounded(T.RollingAggregate("6h", "mean").transform(events(spark, sf), EVENTS), 4),
-    f"""WITH {_E} SELECT event_type, ts, {_r('avg(value) OVER w', 4)} AS value FROM e
+    lambda spark, sf: rounded(T.RollingAggregate("6h", "mean").transform(events(spark, sf), EVENTS)),
+    f"""WITH {_E} SELECT event_type, ts, {_r('avg(value) OVER w')} AS value FROM e
 WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '5:59:59.999999' PRECEDING AND CURRENT ROW)""",
 )
 
@@ -212,8 +212,8 @@ FROM s WINDOW l AS (ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 3 PRECEDING), r AS
 )
 add(
     "double_offset",
-    lambda spark, sf: rounded(T.DoubleRollingAggregate(("6h", "3h"), "mean", diff="diff").transform(events(spark, sf), EVENTS), 4),
-    f"""WITH {_E} SELECT event_type, ts, {_r('avg(value) OVER r - avg(value) OVER l', 4)} AS value FROM e
+    lambda spark, sf: rounded(T.DoubleRollingAggregate(("6h", "3h"), "mean", diff="diff").transform(events(spark, sf), EVENTS)),
+    f"""WITH {_E} SELECT event_type, ts, {_r('avg(value) OVER r - avg(value) OVER l')} AS value FROM e
 WINDOW l AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '6:00:00' PRECEDING AND INTERVAL '0:00:00.000001' PRECEDING),
 r AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL '2:59:59.999999' FOLLOWING)""",
 )
@@ -555,7 +555,7 @@ add(
 add(
     "iou_events",
     lambda spark, sf: rounded(M.iou(*_lists(spark, sf))),
-    f"""WITH {_S}, {_EVS}, {_AND}, {_OR} SELECT round(CAST((SELECT sum(date_diff('microsecond', "start", "end")) FROM j) AS DOUBLE) / (SELECT sum(date_diff('microsecond', "start", "end")) FROM v), 6) + 0.0 AS value""",
+    f"""WITH {_S}, {_EVS}, {_AND}, {_OR} SELECT round(CAST((SELECT sum(date_diff('microsecond', "start", "end")) FROM j) AS DOUBLE) / (SELECT sum(date_diff('microsecond', "start", "end")) FROM v), 9) + 0.0 AS value""",
 )
 
 
