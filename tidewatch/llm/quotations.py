@@ -54,13 +54,13 @@ def _passages(lines: str) -> Column:
         lines,
         F.expr("cast(array() as array<struct<level:int,body:string>>)"),
         lambda acc, x: F.when(
-            F.coalesce(F.element_at(acc, -1)["level"] == x["level"], F.lit(False)),
+            F.coalesce(F.try_element_at(acc, F.lit(-1))["level"] == x["level"], F.lit(False)),
             F.concat(
                 F.slice(acc, 1, F.size(acc) - 1),
                 F.array(
                     F.struct(
                         x["level"].alias("level"),
-                        F.concat_ws("\n", F.element_at(acc, -1)["body"], x["body"]).alias("body"),
+                        F.concat_ws("\n", F.try_element_at(acc, F.lit(-1))["body"], x["body"]).alias("body"),
                     )
                 ),
             ),
