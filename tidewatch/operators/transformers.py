@@ -180,8 +180,8 @@ def _pair_udf(func: Callable, vector: bool):
     def apply(left: pd.Series, right: pd.Series) -> pd.Series:
         made = []
         for a, b in zip(left, right):
-            a, b = (np.array([np.nan if x is None else x for x in v], float) for v in (a, b))
-            made.append(float(func(a, b) if vector else func(a[0], b[0])))
+            a, b = (pd.Series([np.nan if x is None else x for x in v], dtype="float64") for v in (a, b))
+            made.append(float(func(a, b) if vector else func(a.iloc[0], b.iloc[0])))
         return pd.Series(made, dtype="float64")
 
     return lambda a, b: clean_double(apply(a, b))
