@@ -41,6 +41,7 @@ from .textnum import Words, blocks, signed
 WIDTH = 35
 ANCHOR = 12
 HEAVY = 4096
+HOT = 4096
 SHARDS = 4
 
 
@@ -222,6 +223,17 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _members(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the counted ones.
+
+    The most frequent keys, a bounded number, are broadcast; their rows stay
+    where they are, and only the others are dealt out by key.
+    """
+    top = F.broadcast(counted.orderBy(F.desc("n"), key).limit(HOT).select(key))
+    rest = counted.join(top, key, "left_anti").select(key)
+    return rows.join(top, key, "left_semi").unionByName(rows.join(top, key, "left_anti").join(rest, key, "left_semi"))
+
+
 def removals(
     docs: DataFrame,
     width: int = WIDTH,
@@ -238,8 +250,8 @@ def removals(
     anchors = materialise(
         docs.mapInArrow(_emit_anchors(width, anchor), "h long, ref long, pos int"), "anchors"
     )
-    again = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = anchors.join(again, "h").groupBy("ref").agg(F.collect_set("pos").alias("pos"))
+    again = materialise(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "recurring")
+    places = _members(anchors, again, "h").groupBy("ref").agg(F.collect_set("pos").alias("pos"))
     some = materialise(docs.join(places, "ref").select("ref", "text", "pos"), "candidates")
 
     windows = materialise(
