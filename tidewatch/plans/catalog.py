@@ -29,14 +29,17 @@ CLEAN = SeriesSpec(values=("clean",), freq="1d")
 MULTI = SeriesSpec(values=("qty", "price"), freq="1d")
 EVENTS = SeriesSpec(keys=("event_type",), values=("value",))
 
-#: The daily series in SQL.  Planted into it: spikes, a level shift, a stretch
+#: The daily series in SQL, with zeros for days without sales.  Planted into it: spikes, a level shift, a stretch
 #: of higher variance, a weekly pattern and missing values.
 _S = """
-d AS (
+d0 AS (
   SELECT CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS ts,
     CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / 10000.0 AS price,
     CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / 10.0 AS qty
   FROM lineitem GROUP BY 1),
+d AS (
+  SELECT ts, coalesce(price, 0.0) AS price, coalesce(qty, 0.0) AS qty
+  FROM (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM d0) LEFT JOIN d0 USING (ts)),
 k AS (SELECT *, CAST(date_diff('day', TIMESTAMP '1992-01-01', ts) AS BIGINT) AS t FROM d),
 s0 AS (
   SELECT *, price + CASE WHEN t % 97 = 0 THEN 300.0 ELSE 0.0 END + CASE WHEN t >= 1200 THEN 50.0 ELSE 0.0 END
@@ -54,6 +57,7 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     out = rows.groupBy(F.to_date("l_shipdate").cast("timestamp_ntz").alias("ts")).agg(
         (money("l_extendedprice") / 10000.0).alias("price"), (money("l_quantity") / 10.0).alias("qty")
     )
+    out = S.to_grid(out, DAILY).na.fill(0.0, ["price", "qty"])
     t = F.datediff(F.col("ts").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
     out = out.withColumn("t", t)
     high = F.when(F.col("t") % 2 == 0, 40.0).otherwise(-40.0)
@@ -318,7 +322,7 @@ add(
 add(
     "custom_transformer_hd",
     lambda spark, sf: rounded(T.CustomizedTransformerHD(lambda d: d["price"] / d["qty"]).transform(daily(spark, sf), MULTI)),
-    f"WITH {_S} SELECT ts, {_r('price / qty')} AS value FROM s",
+    f"WITH {_S} SELECT ts, CASE WHEN qty <> 0 THEN {_r('price / qty')} END AS value FROM s",
 )
 
 
