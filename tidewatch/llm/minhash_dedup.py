@@ -239,7 +239,8 @@ def links(
     member = (
         group.withColumnRenamed("id", "node").withColumnRenamed("component", "grp").join(mates, "node", "left")
     )
-    text = docs.join(member, "node").groupBy("node", "grp", "mates").agg(F.max("text").alias("text"))
+    # Equal texts become one row before they are dealt out, and the join needs no further shuffle of them.
+    text = docs.groupBy("node").agg(F.max("text").alias("text")).join(member, "node")
     size = member.groupBy("grp").agg(F.count("*").alias("size"))
     whole = materialise(text.join(code, "node").join(size, "grp"), "members")
     pick = lambda df, gid, side: df.select(gid.alias("gid"), F.lit(side).alias("side"), "node", "code", "text")
