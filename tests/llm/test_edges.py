@@ -116,3 +116,15 @@ def test_stages(spark, tables, tmp_path):
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == docs.columns
             docs = out
+
+
+def test_other_texts_of_a_repeated_key_stay(spark):
+    other, third = "another text of the same key", "one more text that nothing else is like"
+    near = " ".join(f"w{i}" for i in range(60))
+    own = rows() + [(20, near, None, None, None), (20, near + " x", None, None, None), (20, third, None, None, None), (21, near, None, None, None)]
+    docs = spark.createDataFrame(own, SCHEMA)
+    left = [(r["doc_id"], r["text"]) for r in minhash_dedup.keep_one(docs).collect()]
+    assert (7, other) in left and (7, SENTENCE * 3 + "and more") not in left
+    assert left.count((5, SENTENCE * 3)) == 1 and (6, SENTENCE * 3) not in left
+    assert (20, third) in left and sum(t is not None and t.startswith("w0 ") for _, t in left) == 1
+    assert sum(k is None for k, _ in left) == 3

@@ -274,8 +274,8 @@ def links(
     return found.union(first).union(second)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row per row of docs: key, class_id (least key of the class) and class_size."""
+def _told(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
+    """One row per row of docs: key, node (null without a word), root, class_id and class_size."""
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("node"))
     wordy = base.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("node", "text")
     comp = connected_components(links(wordy, **how), "classes")
@@ -283,11 +283,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
         "key",
         F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("node")).alias("node"),
     ).join(comp.withColumnRenamed("id", "node"), "node", "left")
-    root = root.select("key", F.coalesce("component", "node").alias("root"))
+    root = root.select("key", "node", F.coalesce("component", "node").alias("root"))
     told = root.where("root is not null").groupBy("root").agg(
         F.min("key").alias("class_id"), F.count("*").alias("class_size")
     )
-    return root.join(told, "root", "left").select(
+    return root.join(told, "root", "left")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row per row of docs: key, class_id (least key of the class) and class_size."""
+    return _told(docs, key, text, **how).select(
         F.col("key").alias(key),
         F.coalesce("class_id", "key").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
@@ -297,17 +302,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of docs without all but the first key of each class; columns stay.
 
-    Of rows that repeat one key inside a class, one stays.  Rows without a key
-    cannot be told apart and stay.
+    Rows go by key and text, so other texts of a repeated key stay.  Of rows
+    that repeat one key inside a class, one stays.  Rows without a key cannot
+    be told apart and stay.
     """
-    told = classes(docs, key, text, **how).where(F.col("class_size") > 1)
-    gone = told.where(F.col(key).isNotNull() & (F.col(key) != F.col("class_id"))).select(key).distinct()
-    again = told.where(F.col(key) == F.col("class_id")).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    kept = docs.join(gone, key, "left_anti")
-    twice = kept.join(again.select(key), key, "left_semi").groupBy(key)
+    told = _told(docs, key, text, **how).where("class_size > 1 and key is not null")
+    gone = told.where("key <> class_id").select("key", "node").distinct()
+    again = told.where("key = class_id").groupBy("key", "root").agg(F.count("*").alias("n"), F.collect_set("node").alias("nodes")).where("n > 1")
+    again = again.select("key", "root", F.explode("nodes").alias("node"))
+    mark = lambda df, name: df.select(
+        F.col("key").alias(f"_{name}_key"), F.col("node").alias(f"_{name}_node"), *[F.col(c).alias(f"_{name}_{c}") for c in df.columns[2:]]
+    )
+    own = F.xxhash64(docs[text])
+    gone, again = mark(gone, "gone"), mark(again.select("key", "node", "root"), "again")
+    kept = docs.join(gone, (docs[key] == gone["_gone_key"]) & (own == gone["_gone_node"]), "left_anti")
+    same = (kept[key] == again["_again_key"]) & (F.xxhash64(kept[text]) == again["_again_node"])
+    twice = kept.join(again, same).groupBy(key, "_again_root")
     rest = [c for c in docs.columns if c != key]
-    once = twice.agg(F.min(F.struct(*rest)).alias("_row")).select(key, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
-    return kept.join(again.select(key), key, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    once = twice.agg(F.min(F.struct(*rest)).alias("_once")).select(key, *[F.col(f"_once.`{c}`").alias(c) for c in rest])
+    return kept.join(again, same, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
