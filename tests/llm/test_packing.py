@@ -56,3 +56,13 @@ def test_bins_hold_their_rules(spark):
     for r in out:
         total[r["doc_id"]] += r["size"]
     assert all(total[r["doc_id"]] == len(r["text"].split()) for r in docs.collect())
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    own = [(g * 10 + i, " ".join([f"g{g}w{k}" for k in range(100)] + [f"x{i}"]), f"s{g}_{i}") for g in range(3) for i in range(4)]
+    own += [(90, own[0][1].upper() + "  ", "t"), (90, own[0][1], "u"), (91, None, "v"), (None, "", "v")]
+    spark.createDataFrame(own, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = packing.query(spark, str(tmp_path)).collect()
+    assert len(out) == len(own)
+    known = [(r["cluster"], r["bin"]) for r in out if r["cluster"] is not None]
+    assert len(set(known)) == len(known) == 14 and len({c for c, _ in known}) == 3

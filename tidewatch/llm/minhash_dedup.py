@@ -274,11 +274,16 @@ def links(
     return found.union(first).union(second)
 
 
+def near_components(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """(id, component) of each text with a near copy; id is xxhash64 of the text."""
+    wordy = docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
+    return connected_components(links(wordy, **how), "classes")
+
+
 def _told(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     """One row per row of docs: key, node (null without a word), root, class_id and class_size."""
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("node"))
-    wordy = base.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("node", "text")
-    comp = connected_components(links(wordy, **how), "classes")
+    comp = near_components(docs, text, **how)
     root = base.select(
         "key",
         F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("node")).alias("node"),

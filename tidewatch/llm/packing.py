@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import materialise, read_table
+from .minhash_dedup import near_components
 
 CAPACITY = 2048
 GROUP = 8192
@@ -156,7 +157,14 @@ def pack(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """Clusters are the near-duplicate classes of op5."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    near = near_components(docs).select(F.col("id").alias("_node"), "component")
+    wordy = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    items = docs.select("doc_id", "source", word_count().alias("_words"), F.when(wordy, F.xxhash64("text")).alias("_node"))
+    items = items.join(near, "_node", "left").withColumn("_class", F.coalesce("component", "_node"))
+    items = materialise(items.select("doc_id", "source", "_words", "_class"), "items")
+    return pack(items, size=F.col("_words"), cluster=F.col("_class"))
 
 
 QUERIES = {"op4_packing": query}
