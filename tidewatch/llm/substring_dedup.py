@@ -17,8 +17,8 @@ work is linear in the corpus:
 4. The tail, all other confirmed windows, is joined by hash.
 
 A full automaton of all confirmed windows would have to see every document in
-every shard, work that grows with the square of the corpus; the README has
-the figures.
+every shard, work that grows with the square of the corpus.  That is an
+argument; full sharded automata were not measured.
 
 Nulls have no words.  Rows may repeat: each is a document of its own, so its
 windows recur.  Texts shorter than ``width`` words stay whole.
