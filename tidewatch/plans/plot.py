@@ -72,8 +72,19 @@ def plot_data(
     return curves, spans
 
 
+def thin_spans(spans: DataFrame, points: int) -> DataFrame:
+    """Spans of one type that start in the same of at most ``points`` time bins, as one from first start to last end."""
+    start, end = (F.unix_micros(F.col(c).cast("timestamp")) for c in ("start", "end"))
+    a, b = spans.agg(F.min(start), F.max(end)).first()
+    if a is None or b is None:
+        return spans
+    bin_ = F.floor((start - a) / -(-(b - a + 1) // points))
+    merged = spans.groupBy("type", "tag", "colour", bin_.alias("_b"))
+    return merged.agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_b")
+
+
 def plot(df: DataFrame, spec: SeriesSpec, anomaly=None, curve_group="each", anomaly_tag="span", points: int = 2000):
-    """Figure and axes; needs matplotlib.  Draws thinned curves, so what reaches the driver is bounded."""
+    """Figure and axes; needs matplotlib.  Draws thinned curves and spans merged by time bins, so what reaches the driver is bounded."""
     if importlib.util.find_spec("matplotlib") is None:
         raise RuntimeError("plot needs matplotlib; plot_data gives what it would draw")
     import matplotlib.pyplot as plt
@@ -84,7 +95,7 @@ def plot(df: DataFrame, spec: SeriesSpec, anomaly=None, curve_group="each", anom
     for (axis, curve, colour), own in curves.toPandas().groupby(["axis", "curve", "colour"]):
         own = own.sort_values(spec.ts)
         axes[axis, 0].plot(own[spec.ts], own["value"], color=colour, label=curve)
-    for row in spans.limit(points).collect() if spans is not None else []:
+    for row in thin_spans(spans, points).collect() if spans is not None else []:
         for ax in axes[:, 0]:
             ax.axvspan(row["start"], row["end"], color=row["colour"], alpha=0.3)
     return figure, axes
