@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tidewatch.llm import substring_dedup
@@ -35,8 +36,18 @@ def table(spark, tmp_path):
     return docs, len(rows)
 
 
-@pytest.mark.parametrize("heavy", [0, 3, 4096])
-def test_against_sql(spark, same_as_sql, tmp_path, heavy):
+#: One shard, many shards, and window look-ups for every gram of more than one passage.
+@pytest.mark.parametrize("how", [{}, {"shard_chars": 500}, {"fan": 1}, {"fan": 0, "shard_chars": 3000}])
+def test_against_sql(spark, same_as_sql, tmp_path, how):
     docs, n = table(spark, tmp_path)
-    run = lambda spark, d: substring_dedup.dedup(spark.read.parquet(f"{d}/documents.parquet"), heavy=heavy)
+    run = lambda spark, d: substring_dedup.dedup(spark.read.parquet(f"{d}/documents.parquet"), **how)
     assert same_as_sql(run, substring_dedup.ORACLE["op10_substring_dedup"], str(tmp_path)) == n
+
+
+def test_nothing_goes_without_an_automaton(spark, monkeypatch):
+    texts = [t for t in corpus() if t]
+    own = substring_dedup.Located(texts, substring_dedup.WIDTH, substring_dedup.ANCHOR, substring_dedup.FAN)
+    own.compile(np.zeros(0, np.int64))
+    assert not any(own.locate(i).any() for i in range(len(texts)))
+    own.compile(own.first[[len(texts) - 1]])
+    assert own.locate(len(texts) - 1)[: substring_dedup.WIDTH].all()

@@ -41,7 +41,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again.
+
+    Only for tables whose readers have been written themselves: a lost
+    executor then finds all it needs in what was written after them.
+    """
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def hot_keys(counted: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """Keys that hold a thousandth of all rows or more: a thousand at most, whatever the input."""
+    return counted.where(F.col(count) >= max(2, total // 1000 + 1)).select(key)
+
+
+def join_hot(rows: DataFrame, told: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows left join told, which has one row a key.
+
+    Rows of the hot keys stay where they are and meet a broadcast of at most a
+    thousand rows of ``told``; only the others are dealt out by key.
+    """
+    top = F.broadcast(hot)
+    few = F.broadcast(told.join(top, key, "left_semi"))
+    return (
+        rows.join(top, key, "left_semi")
+        .join(few, key, "left")
+        .unionByName(rows.join(top, key, "left_anti").join(told.join(top, key, "left_anti"), key, "left"))
+    )
 
 
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:

@@ -3,206 +3,341 @@
 Passages are windows of ``width`` consecutive words, compared unchanged.  The
 work is linear in the corpus:
 
-1. Anchors.  In any ``width`` words, the winnowing rule picks at least one of
-   the shorter ``anchor``-word grams by content alone, so two equal windows
-   pick the same gram.  Only these (about one word in twelve) are shuffled,
-   and only grams seen twice matter further.
-2. Confirmation.  Documents with a recurring anchor emit the hashes of the
-   windows around it; windows seen twice are confirmed.
-3. Heavy passages.  The ``heavy`` most frequent confirmed windows - a bounded
-   number - are compiled into sharded Aho-Corasick automata over word codes,
-   and the candidate documents are streamed through them.  A match is compared
-   word by word.  These windows never meet in a join, so boilerplate that
-   stands in a third of all documents makes no hot key.
-4. The tail, all other confirmed windows, is joined by hash.
-
-A full automaton of all confirmed windows would have to see every document in
-every shard, work that grows with the square of the corpus.  That is an
-argument; full sharded automata were not measured.
-
-Nulls have no words.  Rows may repeat: each is a document of its own, so its
-windows recur.  Texts shorter than ``width`` words stay whole.
+1. Anchors.  In any ``width`` words the winnowing rule picks one of the
+   shorter ``anchor``-word grams by content alone, so equal windows pick equal
+   grams.  About one word in twelve begins such a gram; only these hashes are
+   counted, for each shard of documents, and grams seen twice go back to the
+   shards they stand in.
+2. Confirmation.  Each shard hashes the windows that picked a recurring gram.
+   Windows seen twice, in one shard or in several, are confirmed.
+3. Automata.  Each shard is told which of its windows are confirmed and
+   compiles the grams that they pick, over word codes, into its Aho-Corasick
+   automaton.  All of its documents with a recurring gram stream through it.
+   A hit is lined up with each passage that the gram comes from and compared
+   word by word as far as both agree; the confirmed windows of a stretch of at
+   least ``width`` words are removed.  A gram of more than ``fan`` passages
+   picks the one to compare by the words of the window.
+
+So every removal comes from an automaton, each document passes exactly one of
+them, and an automaton holds no more than its shard of about ``shard_chars``
+characters.  What a third of all documents share is one row a shard in every
+shuffle.  Confirmation trusts 64-bit window hashes; all else compares words.
+
+Nulls and empty texts have no words and keep the digest of nothing.  Texts
+shorter than ``width`` words stay whole; long ones are handled whole.  Rows
+that repeat a key and its text are documents of their own, so their windows
+recur; they are worked on once.  Ties cannot change a result.  An empty table
+gives an empty one.  Other columns of ``docs`` are not looked at, whatever
+their names; keys may be null and of any type.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import discard, hot_keys, join_hot, materialise, read_table
 from .textnum import Words, blocks, signed
 
 WIDTH = 35
 ANCHOR = 12
-HEAVY = 4096
-HOT = 4096
-SHARDS = 4
+SHARD_CHARS = 8_000_000
+FAN = 16
+_CHUNK = 1 << 16
 
 
-def _anchors(words: Words, width: int, anchor: int) -> np.ndarray:
-    """Indices into windows(anchor) of the grams that winnowing selects."""
+def picked(words: Words, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window starts, start of the gram that each window picks, hash of that gram)."""
     at, h = words.windows(anchor)
     span = width - anchor + 1
     if len(at) < span:
-        return np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64)
     view = np.lib.stride_tricks.sliding_window_view(h, span)
     inside = np.flatnonzero(words.doc[at[: len(view)]] == words.doc[at[span - 1 :]])
-    picked = np.zeros(len(at), bool)
-    for i in range(0, len(inside), 1 << 16):
-        part = inside[i : i + (1 << 16)]
-        picked[part + view[part].argmin(1)] = True
-    return np.flatnonzero(picked)
+    gram = np.empty(len(inside), np.int64)
+    for i in range(0, len(inside), _CHUNK):
+        part = inside[i : i + _CHUNK]
+        gram[i : i + _CHUNK] = part + view[part].argmin(1)
+    return at[inside], at[gram], h[gram]
+
+
+def _sums(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first row of each distinct key, sums of n)."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    first = np.flatnonzero(new)
+    return order[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
 def _emit_anchors(width: int, anchor: int):
+    """(h, shard, n) of the picked grams, added up within a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, shard, n = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            at, n = _sums((h, shard), n)
+            return pa.record_batch({"h": signed(h[at]), "shard": shard[at], "n": n})
+
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ref = np.asarray(batch.column("ref"))
+            shard, n = (np.asarray(batch.column(c)) for c in ("shard", "n"))
             for a, b in blocks(texts):
                 words = Words(texts[a:b])
-                at, h = words.windows(anchor)
-                pick = _anchors(words, width, anchor)
-                if len(pick):
-                    doc = words.doc[at[pick]]
-                    yield pa.record_batch(
-                        {
-                            "h": signed(h[pick]),
-                            "ref": ref[a + doc],
-                            "pos": (at[pick] - words.first[doc]).astype(np.int32),
-                        }
-                    )
+                start, gram, h = picked(words, width, anchor)
+                # The windows of one gram are neighbours: each place counts once.
+                new = np.append(True, gram[1:] != gram[:-1]) if len(gram) else np.zeros(0, bool)
+                doc = a + words.doc[start[new]]
+                held.append((h[new], shard[doc], n[doc]))
+            if sum(len(x[0]) for x in held) > 1 << 20:
+                yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
-def _near(words: Words, anchors: list[np.ndarray], width: int, anchor: int) -> np.ndarray:
-    """Global starts of the windows that contain one of the given anchors."""
-    total = len(words)
-    change = np.zeros(total + 1, np.int64)
-    for d, pos in enumerate(anchors):
-        n, first = words.counts[d], words.first[d]
-        if n >= width and len(pos):
-            low = np.clip(pos + anchor - width, 0, n - width)
-            high = np.clip(pos, 0, n - width)
-            np.add.at(change, first + low, 1)
-            np.add.at(change, first + high + 1, -1)
-    return np.flatnonzero(np.cumsum(change)[:total] > 0)
+class _Shard:
+    """Rows of one shard: numbers told to it, and its documents."""
+
+    def __init__(self, number: int):
+        self.number = number
+        self.told: list[tuple[np.ndarray, np.ndarray]] = []
+        self.ref: list[int] = []
+        self.n: list[int] = []
+        self.texts: list[str] = []
+
+    def numbers(self, i: int) -> np.ndarray:
+        return np.concatenate([t[i] for t in self.told]) if self.told else np.zeros(0, np.int64)
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[_Shard]:
+    """Shards one after the other; rows come sorted by shard."""
+    now: _Shard | None = None
+    for batch in batches:
+        number = np.asarray(batch.column("shard"))
+        cut = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+        for a, b in zip(cut, cut[1:]):
+            if a == b:
+                continue
+            if now is None or now.number != number[a]:
+                if now is not None:
+                    yield now
+                now = _Shard(int(number[a]))
+            part = batch.slice(a, b - a)
+            ref, n = np.asarray(part.column("ref")), np.asarray(part.column("n"))
+            doc = np.asarray(part.column("text").is_valid())
+            if not doc.all():
+                now.told.append((ref[~doc], n[~doc]))
+            if doc.any():
+                now.ref += ref[doc].tolist()
+                now.n += n[doc].tolist()
+                now.texts += part.column("text").filter(pa.array(doc)).to_pylist()
+    if now is not None:
+        yield now
 
 
 def _emit_windows(width: int, anchor: int):
+    """Of each shard: the documents with a recurring gram, and its distinct candidate windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            pos = [np.asarray(x, np.int64) for x in batch.column("pos").to_pylist()]
-            ref = np.asarray(batch.column("ref"))
-            for a, b in blocks(texts):
-                words = Words(texts[a:b])
-                near = _near(words, pos[a:b], width, anchor)
-                at, h = words.windows(width)
-                keep = np.searchsorted(at, near)
-                if len(near):
-                    doc = words.doc[near]
-                    yield pa.record_batch(
-                        {
-                            "w": signed(h[keep]),
-                            "ref": ref[a + doc],
-                            "start": (near - words.first[doc]).astype(np.int32),
-                        }
-                    )
+        for shard in _shards(batches):
+            known = np.sort(shard.numbers(0))
+            ref, n = np.asarray(shard.ref, np.int64), np.asarray(shard.n, np.int64)
+            held = []
+            for a, b in blocks(shard.texts) if len(known) else ():
+                words = Words(shard.texts[a:b])
+                start, _, h = picked(words, width, anchor)
+                at = np.minimum(np.searchsorted(known, signed(h)), len(known) - 1)
+                start = start[known[at] == signed(h)]
+                if not len(start):
+                    continue
+                every, w = words.windows(width)
+                doc = words.doc[start]
+                held.append((signed(w[np.searchsorted(every, start)]), a + doc, (start - words.first[doc]).astype(np.int32)))
+                some = a + np.unique(doc)
+                yield _rows(shard.number, ref[some], n[some], [shard.texts[i] for i in some])
+            if held:
+                w, doc, start = (np.concatenate(c) for c in zip(*held))
+                at, many = _sums((w,), n[doc])
+                for i in range(0, len(at), _CHUNK):
+                    own = at[i : i + _CHUNK]
+                    yield _rows(shard.number, w=w[own], many=many[i : i + _CHUNK], ref_of=ref[doc[own]], start=start[own])
 
     return run
 
 
+_WINDOWS = "shard int, ref long, n long, text string, w array<long>, many array<long>, ref_of array<long>, start array<int>"
+
+
+def _rows(shard: int, ref=None, n=None, texts=None, **arrays) -> pa.RecordBatch:
+    """Documents of a shard, or one row of arrays."""
+    size = 1 if texts is None else len(texts)
+    kinds = {"w": pa.int64(), "many": pa.int64(), "ref_of": pa.int64(), "start": pa.int32()}
+    return pa.record_batch(
+        {
+            "shard": pa.array([shard] * size, pa.int32()),
+            "ref": pa.array([None] if ref is None else ref, pa.int64()),
+            "n": pa.array([None] if n is None else n, pa.int64()),
+            "text": pa.array([None] if texts is None else texts, pa.string()),
+            **{
+                k: pa.ListArray.from_arrays(pa.array([0, len(arrays[k])], pa.int32()), pa.array(arrays[k], kind))
+                if k in arrays
+                else pa.nulls(size, pa.list_(kind))
+                for k, kind in kinds.items()
+            },
+        }
+    )
+
+
 def _code(hashes: np.ndarray) -> str:
     """One code point a word, above the surrogates."""
     return (hashes % np.uint64(0xF0000) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _cut(width: int):
-    """The words of the heavy windows, from one place where each stands."""
-
+class Located:
+    """Words of a shard's documents, its passages and their automaton."""
+
+    def __init__(self, texts: list[str], width: int, anchor: int, fan: int):
+        self.width, self.anchor, self.fan = width, anchor, fan
+        self.parts, base, firsts, counts = [], 0, [], []
+        starts, grams = [], []
+        for a, b in blocks(texts):
+            words = Words(texts[a:b])
+            start, gram, _ = picked(words, width, anchor)
+            self.parts.append((base, words))
+            firsts.append(base + words.first)
+            counts.append(words.counts)
+            starts.append(base + start)
+            grams.append(base + gram)
+            base += len(words)
+        join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        self.first, self.counts = join(firsts), join(counts)
+        self.hashes = np.concatenate([w.hashes for _, w in self.parts]) if self.parts else np.zeros(0, np.uint64)
+        self.bases = np.asarray([b for b, _ in self.parts])
+        # The gram that the window at a start picks; -1 where no window starts.
+        self.gram = np.full(base + 1, -1, np.int64)
+        self.gram[join(starts)] = join(grams)
+        self.known = np.zeros(base + 1, bool)
+
+    def text(self, a: int, b: int) -> bytes:
+        """Words a to b of one document, joined by single spaces."""
+        i = int(np.searchsorted(self.bases, a, "right")) - 1
+        base, words = self.parts[i]
+        return b" ".join(words.buf[words.starts[a - base] : words.ends[b - 1 - base]].split())
+
+    def compile(self, starts: np.ndarray) -> None:
+        """Patterns are the grams that the confirmed windows pick, with all places where they do."""
+        self.known[starts] = True
+        self.automaton = ahocorasick.Automaton()
+        self.windows: dict[int, dict[int, int]] = {}
+        for g in np.unique(self.gram[np.flatnonzero(self.known)]):
+            code = _code(self.hashes[g : g + self.anchor])
+            if code in self.automaton:
+                self.automaton.get(code).append(int(g))
+            else:
+                self.automaton.add_word(code, [int(g)])
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def _agree(self, p: int, g: int, step: int, limit: int) -> int:
+        """Words that agree from p and g on, forwards or backwards, up to a limit."""
+        done, size = 0, 32
+        while done < limit:
+            k = min(size, limit - done)
+            if step > 0:
+                same = self.hashes[p + done : p + done + k] == self.hashes[g + done : g + done + k]
+            else:
+                same = (self.hashes[p - done - k : p - done] == self.hashes[g - done - k : g - done])[::-1]
+            if not same.all():
+                return done + int(np.argmin(same))
+            done, size = done + k, size * 4
+        return done
+
+    def _mark(self, begin: int, end: int, source: int, found: np.ndarray, low: int) -> None:
+        """Marks the confirmed starts of a stretch that agrees with the words at source."""
+        if begin == source or self.text(begin, end) == self.text(source, source + end - begin):
+            size = end - begin - self.width + 1
+            found[begin - low : begin - low + size] |= self.known[source : source + size]
+
+    def _few(self, p: int, g: int, low: int, high: int, reached: dict[int, int], found: np.ndarray) -> None:
+        """Lines the document up with the passage around g; a stretch is compared once."""
+        if reached.get(p - g, -1) > p:
+            return
+        doc = int(np.searchsorted(self.first, g, "right")) - 1
+        a, b = int(self.first[doc]), int(self.first[doc] + self.counts[doc])
+        left = self._agree(p, g, -1, min(p - low, g - a))
+        right = self._agree(p, g, 1, min(high - p, b - g))
+        reached[p - g] = p + right
+        if left + right >= self.width:
+            self._mark(p - left, p + right, g - left, found, low)
+
+    def _many(self, p: int, sources: list[int], low: int, high: int, found: np.ndarray) -> None:
+        """Picks the passage by the window's words; one look-up for each window of this gram."""
+        key = sources[0]
+        if key not in self.windows:
+            self.windows[key] = {}
+            for g in sources:
+                for s in range(max(0, g - self.width + self.anchor), g + 1):
+                    if self.known[s] and self.gram[s] == g:
+                        self.windows[key].setdefault(hash(self.hashes[s : s + self.width].tobytes()), s)
+        for s in range(max(low, p - self.width + self.anchor), min(p, high - self.width) + 1):
+            if self.gram[s] == p and not found[s - low]:
+                source = self.windows[key].get(hash(self.hashes[s : s + self.width].tobytes()))
+                if source is not None:
+                    self._mark(s, s + self.width, source, found, low)
+
+    def locate(self, doc: int) -> np.ndarray:
+        """Mark of each word of a document that a passage covers."""
+        low, n = int(self.first[doc]), int(self.counts[doc])
+        found = np.zeros(n + 1, bool)
+        if len(self.automaton) and n >= self.width:
+            reached: dict[int, int] = {}
+            for end, sources in self.automaton.iter(_code(self.hashes[low : low + n])):
+                p = low + end - self.anchor + 1
+                if len(sources) > self.fan:
+                    self._many(p, sources, low, low + n, found)
+                else:
+                    for g in sources:
+                        self._few(p, g, low, low + n, reached, found)
+        change = found.astype(np.int64)
+        change[self.width :] -= found[: max(0, len(found) - self.width)]
+        return np.cumsum(change)[:n] > 0
+
+
+def _remove(width: int, anchor: int, fan: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                words = text.encode("utf-8", "surrogatepass").split()
-                out += [b" ".join(words[s : s + width]) for s in starts]
-            yield pa.record_batch({"passage": pa.array(out, pa.binary())})
-
-    return run
-
-
-_compiled: dict[tuple, list] = {}
-
-
-def compile_automata(passages: list[bytes], shards: int) -> list[ahocorasick.Automaton]:
-    """Automata over word codes, each of the passages of one shard."""
-    key = (hashlib.sha256(b"\n".join(passages)).digest(), shards)
-    if key not in _compiled:
-        _compiled.clear()
-        made = [ahocorasick.Automaton() for _ in range(shards)]
-        for i, passage in enumerate(passages):
-            code = _code(Words([passage.decode("utf-8", "surrogatepass")]).hashes)
-            auto = made[i % shards]
-            auto.add_word(code, (*auto.get(code, ()), passage))
-        for auto in made:
-            if len(auto):
-                auto.make_automaton()
-        _compiled[key] = [auto for auto in made if len(auto)]
-    return _compiled[key]
-
-
-def _locate(words: Words, automata: list, width: int) -> np.ndarray:
-    """Marks the global starts of all heavy windows."""
-    found = np.zeros(len(words) + 1, bool)
-    if automata and len(words) >= width:
-        code = _code(words.hashes)
-        for auto in automata:
-            for end, passages in auto.iter(code):
-                s = end - width + 1
-                if words.doc[s] == words.doc[end]:
-                    text = b" ".join(words.buf[words.starts[s] : words.ends[end]].split())
-                    found[s] |= text in passages
-    return found
-
-
-def _remove(width: int, passages, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = compile_automata(passages.value, shards)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            tail = batch.column("starts").to_pylist()
-            ref = np.asarray(batch.column("ref"))
-            for a, b in blocks(texts):
-                words = Words(texts[a:b])
-                start = _locate(words, automata, width)
-                for d in range(b - a):
-                    if tail[a + d]:
-                        start[words.first[d] + np.asarray(tail[a + d], np.int64)] = True
-                change = start.astype(np.int64)
-                change[width:] -= start[: len(change) - width]
-                gone = np.cumsum(change)[: len(words)] > 0
-                removed, kept = [], []
-                for d in range(b - a):
-                    span = slice(words.first[d], words.first[d] + words.counts[d])
-                    out = gone[span]
-                    removed.append(int(out.sum()))
-                    stay = np.flatnonzero(~out) + words.first[d]
-                    kept.append(b" ".join([words.buf[s:e] for s, e in zip(words.starts[stay], words.ends[stay])]))
-                yield pa.record_batch(
-                    {
-                        "ref": ref[a:b],
-                        "n_removed": pa.array(removed, pa.int64()),
-                        "kept": pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()),
-                    }
-                )
+        for shard in _shards(batches):
+            if not shard.told or not shard.texts:
+                continue
+            own = Located(shard.texts, width, anchor, fan)
+            # A place is told as the document's ref and the window's start in it.
+            place = {r: i for i, r in enumerate(shard.ref)}
+            doc = np.fromiter((place[r] for r in shard.numbers(0).tolist()), np.int64)
+            own.compile(own.first[doc] + shard.numbers(1))
+            ref, removed, kept = [], [], []
+            for i, text in enumerate(shard.texts):
+                gone = own.locate(i)
+                if gone.any():
+                    words = text.encode("utf-8", "surrogatepass").split()
+                    ref.append(shard.ref[i])
+                    removed.append(int(gone.sum()))
+                    kept.append(b" ".join([words[k] for k in np.flatnonzero(~gone)]).decode("utf-8", "surrogatepass"))
+            yield pa.record_batch({"ref": pa.array(ref, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     return run
 
@@ -223,59 +358,40 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _members(rows: DataFrame, counted: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is among the counted ones.
+def _seen_twice(rows: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows, at most one a shard and key, whose key stands more than once in all."""
+    return rows.withColumn("_all", F.sum(count).over(W.partitionBy(key))).where("_all > 1").drop("_all")
 
-    The most frequent keys, a bounded number, are broadcast; their rows stay
-    where they are, and only the others are dealt out by key.
-    """
-    top = F.broadcast(counted.orderBy(F.desc("n"), key).limit(HOT).select(key))
-    rest = counted.join(top, key, "left_anti").select(key)
-    return rows.join(top, key, "left_semi").unionByName(rows.join(top, key, "left_anti").join(rest, key, "left_semi"))
+
+def _dealt(told: DataFrame, docs: DataFrame) -> DataFrame:
+    """What a shard is told, and its documents, shard by shard."""
+    told = told.select("shard", "ref", "n", F.lit(None).cast("string").alias("text"))
+    return told.unionByName(docs.select("shard", "ref", "n", "text")).repartition("shard").sortWithinPartitions("shard")
 
 
 def removals(
-    docs: DataFrame,
-    width: int = WIDTH,
-    anchor: int = ANCHOR,
-    heavy: int = HEAVY,
-    shards: int = SHARDS,
+    docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, shard_chars: int = SHARD_CHARS, fan: int = FAN
 ) -> DataFrame:
-    """(ref, n_removed, kept) of the documents with a recurring anchor.
+    """(ref, n_removed, kept) of the documents that lose words.
 
-    ``docs`` has ref and text; equal refs must mean equal texts.  ``kept`` is
-    the text of the remaining words joined by one space.
+    ``docs`` has ref, n and text, one row a ref: a document that stands n times.
+    ``kept`` is the text of the remaining words joined by one space.
     """
-    spark = docs.sparkSession
-    anchors = materialise(
-        docs.mapInArrow(_emit_anchors(width, anchor), "h long, ref long, pos int"), "anchors"
-    )
-    again = materialise(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "recurring")
-    places = _members(anchors, again, "h").groupBy("ref").agg(F.collect_set("pos").alias("pos"))
-    some = materialise(docs.join(places, "ref").select("ref", "text", "pos"), "candidates")
-
-    windows = materialise(
-        some.mapInArrow(_emit_windows(width, anchor), "w long, ref long, start int"), "windows"
-    )
-    twice = materialise(windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1"), "confirmed")
-    top = twice.orderBy(F.desc("n"), "w").limit(heavy).select("w")
-    # One place of each heavy window; only they carry a place through a shuffle.
-    place = windows.join(F.broadcast(top), "w").groupBy("w").agg(F.min(F.struct("ref", "start")).alias("at"))
-    pick = place.groupBy(F.col("at.ref").alias("ref")).agg(F.collect_list("at.start").alias("starts"))
-    cut = (
-        some.select("ref", "text")
-        .join(F.broadcast(pick), "ref")
-        .dropDuplicates(["ref"])
-        .mapInArrow(_cut(width), "passage binary")
-    )
-    passages = spark.sparkContext.broadcast(sorted({bytes(r.passage) for r in cut.collect()}))
-    tail = twice.join(F.broadcast(top), "w", "left_anti").select("w")
-    starts = windows.join(tail, "w").groupBy("ref").agg(F.collect_set("start").alias("starts"))
-    return (
-        some.select("ref", "text")
-        .join(starts, "ref", "left")
-        .mapInArrow(_remove(width, passages, shards), "ref long, n_removed long, kept string")
-    )
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(total / shard_chars))
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64("ref", F.lit(1)), F.lit(shards)).cast("int"))
+    anchors = docs.mapInArrow(_emit_anchors(width, anchor), "h long, shard int, n long")
+    anchors = anchors.groupBy("h", "shard").agg(F.sum("n").alias("n"))
+    again = materialise(_seen_twice(anchors, "h", "n").select("shard", F.col("h").alias("ref"), "n"), "recurring")
+    some = materialise(_dealt(again, docs).mapInArrow(_emit_windows(width, anchor), _WINDOWS), "candidates")
+    discard(again)
+    windows = some.where("w is not null").select("shard", F.explode(F.arrays_zip("w", "many", "ref_of", "start")).alias("x"))
+    windows = windows.select("shard", "x.w", "x.many", F.col("x.ref_of").alias("ref"), F.col("x.start").cast("long").alias("n"))
+    sure = materialise(_seen_twice(windows, "w", "many").select("shard", "ref", "n"), "confirmed")
+    gone = _dealt(sure, some.where("text is not null")).mapInArrow(_remove(width, anchor, fan), "ref long, n_removed long, kept string")
+    gone = materialise(gone, "removed")
+    discard(some, sure)
+    return gone
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -283,12 +399,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Da
     base = docs.select(
         F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("ref"), F.col(text).alias("text")
     )
+    counted = materialise(base.where("text is not null").groupBy("ref").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    own = base.where("text is not null").select("ref", "text")
+    if counted.isEmpty():
+        once, hot = own.withColumn("n", F.lit(1).cast("long")), counted.select("ref")
+    else:
+        twice = own.join(counted, "ref", "left_semi").groupBy("ref").agg(F.max("text").alias("text")).join(counted, "ref")
+        once = own.join(counted, "ref", "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(twice)
+        hot = hot_keys(counted, "ref", counted.agg(F.sum("n")).first()[0])
+    cut = removals(once, **how).select("ref", "n_removed", F.sha2(F.col("kept"), 256).alias("sha"))
     whole = base.mapInArrow(
         _whole, f"key {docs.schema[key].dataType.simpleString()}, ref long, n_words long, whole_sha256 string"
     )
-    cut = removals(base.where("text is not null").select("ref", "text"), **how)
-    cut = cut.select("ref", "n_removed", F.sha2(F.col("kept"), 256).alias("sha")).dropDuplicates(["ref"])
-    return whole.join(cut, "ref", "left").select(
+    return join_hot(whole, cut, "ref", hot).select(
         F.col("key").alias(key),
         "n_words",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
