@@ -59,7 +59,7 @@ def test_against_all_pairs(spark):
     texts = corpus(3)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = classes(texts)
-    for how in ({}, {"block": 2}):  # small blocks take the way of large groups
+    for how in ({}, {"block": 2, "star": 2}):  # small blocks take the way of large groups
         got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.classes(docs, **how).collect()}
         assert [got[i] for i in range(len(texts))] == want
     sizes = Counter(want)

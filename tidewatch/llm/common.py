@@ -63,18 +63,18 @@ def hot_keys(counted: DataFrame, key: str, total: int, count: str = "n") -> Data
     return counted.where(F.col(count) >= max(2, total // 1000 + 1)).select(key)
 
 
-def join_hot(rows: DataFrame, told: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """rows left join told, which has one row a key.
+def join_hot(rows: DataFrame, told: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) with told, which has one row a key.
 
-    Rows of the hot keys stay where they are and meet a broadcast of at most a
-    thousand rows of ``told``; only the others are dealt out by key.
+    Rows of the hot keys, which are few, stay where they are and meet a
+    broadcast of their rows of ``told``; only the others are dealt out by key.
     """
     top = F.broadcast(hot)
     few = F.broadcast(told.join(top, key, "left_semi"))
     return (
         rows.join(top, key, "left_semi")
-        .join(few, key, "left")
-        .unionByName(rows.join(top, key, "left_anti").join(told.join(top, key, "left_anti"), key, "left"))
+        .join(few, key, how)
+        .unionByName(rows.join(top, key, "left_anti").join(told.join(top, key, "left_anti"), key, how))
     )
 
 
@@ -111,7 +111,8 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        cur = materialise(small, label)
+        last, cur = cur, materialise(small, label)
+        discard(last)
         now = cur.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),

@@ -10,16 +10,26 @@ all texts with that shingle, so slot minima agree with probability equal to
 the weighted Jaccard index.  Points beyond a per-text horizon are never drawn,
 so a text costs O(shingles + m log m), not O(shingles * m).
 
-Texts that share a band go to one candidate group.  Equal texts are one node
-throughout.  Inside a group every pair whose signatures do not rule it out is
-compared exactly, except pairs already linked; large groups first link to a
-few hubs, and then only what stayed outside the largest linked part is
-compared, in blocks, with all of the group.  No pair is emitted but verified
-links of a spanning forest, and no partner is capped.
+Candidates are texts that share a band.  Equal texts are one node throughout,
+known by two 64-bit hashes.
+
+1. Every text of a band is compared exactly with the least node of the band,
+   its hub, each pair once however many bands share it.  That links copies of
+   one original in time linear in their number.
+2. Bands whose texts are not all linked by then are compared inside the band,
+   bands of the same texts once: all pairs of different parts whose signatures
+   do not rule it out; in bands of more than ``block`` texts only what stayed
+   outside the largest part, in blocks, with all of the band.
+
+Classes are the components of verified links only.  No pair is emitted but
+verified links, and no partner is capped.  What the second step costs grows
+with the texts of a band that are not near copies of its largest part.
 
 Nulls and texts without a word are their own class.  Texts of one to four
-words have one shingle, the whole text.  Rows with a repeated key each keep
-their row; keys may be null.
+words have one shingle, the whole text; long texts are shingled whole.  Rows
+with a repeated key each keep their row; keys may be null and of any type that
+has an order.  Among ties the least key names the class.  An empty table gives
+an empty one.  Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, read_table
+from .common import connected_components, discard, hot_keys, join_hot, materialise, read_table
 from .textnum import Words, blocks, mix, signed, span_hash
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 BLOCK = 256
-HUBS = 4
+STAR = 512
 _G = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(0xD1B54A32D192ED03)
 
@@ -98,8 +108,11 @@ def _sign(bands: int, rows: int):
     m = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # nodes of this task: copies are signed once
         for batch in batches:
-            texts, node = batch.column("text").to_pylist(), np.asarray(batch.column("node"))
+            node = np.asarray(batch.column("node"))
+            new = [i for i, x in enumerate(node.tolist()) if not (x in seen or seen.add(x))]
+            texts, node = batch.column("text").take(pa.array(new, pa.int64())).to_pylist(), node[new]
             for a, b in blocks(texts):
                 n = b - a
                 doc, item, weight = shingles(texts[a:b])
@@ -134,17 +147,60 @@ def _overlap(a: tuple, b: tuple) -> float:
     return both / (a[2] + b[2] - both)
 
 
-def _links(nodes: list[int], sides: list[int], codes: list[bytes], texts: list[str], similarity: float) -> list:
-    """A spanning forest of the verified links between side 0 and side 1; side 2 is both."""
+def _bags(texts: list[str]) -> list[tuple]:
+    """(sorted items, weights, total) of each text."""
+    out = []
+    for a, b in blocks(texts):
+        doc, item, weight = shingles(texts[a:b])
+        cut = np.searchsorted(doc, np.arange(b - a + 1))
+        for x, y in zip(cut, cut[1:]):
+            out.append((item[x:y], weight[x:y], weight[x:y].sum()))
+    return out
+
+
+def _alike(a: tuple, b: tuple, similarity: float) -> bool:
+    small, large = sorted((a[2], b[2]))
+    return small >= similarity * large and _overlap(a, b) >= similarity
+
+
+def _floor(similarity: float, slots: int) -> float:
+    """Share of equal slots below which two texts cannot be alike, but for four standard deviations."""
+    return similarity - 4 * math.sqrt(similarity * (1 - similarity) / slots)
+
+
+def _star(similarity: float):
+    """Links of each group's hub with its members; rows come sorted by group, the hub first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gid, hub, code, bag = None, 0, None, None
+        for batch in batches:
+            cols = {c: batch.column(c).to_pylist() for c in ("gid", "side", "node", "code", "text")}
+            own, out = [], []
+            for i, g in enumerate(cols["gid"]):
+                mine = np.frombuffer(cols["code"][i], np.uint16)
+                if cols["side"][i] == 0:
+                    gid, hub, code, bag = g, cols["node"][i], mine, _bags([cols["text"][i]])[0]
+                elif g == gid and (mine == code).mean() >= _floor(similarity, len(code)):
+                    own.append((cols["node"][i], hub, bag, cols["text"][i]))
+            for (node, to, center, _), mine in zip(own, _bags([o[3] for o in own])):
+                if _alike(mine, center, similarity):
+                    out.append((to, node))
+            yield _pairs(out)
+
+    return run
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _links(nodes: list[int], sides: list[int], parts: list[int], codes: list[bytes], texts: list[str], similarity: float) -> list:
+    """Verified links that join the parts of side 0 with those of side 1; side 2 is both."""
     code = np.frombuffer(b"".join(codes), np.uint16).reshape(len(nodes), -1)
-    m = code.shape[1]
-    floor = similarity - 4 * math.sqrt(similarity * (1 - similarity) / m)
-    side = np.asarray(sides)
+    floor = _floor(similarity, code.shape[1])
+    side, part = np.asarray(sides), np.asarray(parts)
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    root = list(range(len(nodes)))
-    same: dict[int, int] = {}
-    for i, x in enumerate(nodes):
-        root[i] = same.setdefault(x, i)
+    root: dict[int, int] = {p: p for p in parts}
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -154,30 +210,22 @@ def _links(nodes: list[int], sides: list[int], codes: list[bytes], texts: list[s
 
     pairs = []
     for i in left:
-        near = (code[right] == code[i]).mean(1)
-        for j in np.flatnonzero(near >= floor):
-            if nodes[i] != nodes[right[j]] and not (side[i] == 2 and side[right[j]] == 2 and right[j] <= i):
-                pairs.append((-near[j], int(i), int(right[j])))
+        other = right[part[right] != part[i]]
+        near = (code[other] == code[i]).mean(1)
+        for j, x in zip(other[near >= floor], near[near >= floor]):
+            if not (side[i] == 2 and side[j] == 2 and j <= i):
+                pairs.append((-x, int(i), int(j)))
     if not pairs:
         return []
     pairs.sort()
-    bags: dict[int, tuple] = {}
     need = sorted({i for p in pairs for i in p[1:]})
-    for a, b in blocks([texts[i] for i in need]):
-        part = need[a:b]
-        doc, item, weight = shingles([texts[i] for i in part])
-        cut = np.searchsorted(doc, np.arange(len(part) + 1))
-        for x, i in enumerate(part):
-            w = weight[cut[x] : cut[x + 1]]
-            bags[i] = (item[cut[x] : cut[x + 1]], w, w.sum())
+    bags = dict(zip(need, _bags([texts[i] for i in need])))
     out = []
     for _, i, j in pairs:
-        x, y = find(i), find(j)
-        if x != y:
-            small, large = sorted((bags[i][2], bags[j][2]))
-            if small >= similarity * large and _overlap(bags[i], bags[j]) >= similarity:
-                root[x] = y
-                out.append((nodes[i], nodes[j]))
+        x, y = find(parts[i]), find(parts[j])
+        if x != y and _alike(bags[i], bags[j], similarity):
+            root[x] = y
+            out.append((nodes[i], nodes[j]))
     return out
 
 
@@ -185,20 +233,15 @@ def _compare(similarity: float):
     """Verified links of each group of rows with one gid; rows come sorted by gid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {c: [] for c in ("gid", "node", "side", "code", "text")}
+        held: dict[str, list] = {c: [] for c in ("gid", "node", "side", "part", "code", "text")}
         out: list = []
 
         def flush():
             if len(held["gid"]) > 1:
-                out.extend(_links(held["node"], held["side"], held["code"], held["text"], similarity))
+                out.extend(_links(*(held[c] for c in ("node", "side", "part", "code", "text")), similarity))
             for c in held.values():
                 c.clear()
 
-        def made():
-            a = pa.record_batch({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-            out.clear()
-            return a
-
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in held}
             for i, gid in enumerate(cols["gid"]):
@@ -207,71 +250,78 @@ def _compare(similarity: float):
                 for c in held:
                     held[c].append(cols[c][i])
             if out:
-                yield made()
+                yield _pairs(out)
+                out.clear()
         flush()
-        yield made()
+        yield _pairs(out)
 
     return run
 
 
-def _verified(rows: DataFrame, similarity: float, label: str) -> DataFrame:
-    spread = rows.repartition("gid").sortWithinPartitions("gid")
-    return materialise(spread.mapInArrow(_compare(similarity), "a long, b long"), label)
+def _verified(rows: DataFrame, func, label: str) -> DataFrame:
+    spread = rows.repartition("gid").sortWithinPartitions("gid", "side")
+    return materialise(spread.mapInArrow(func, "a long, b long"), label)
+
+
+def _blocked(bands: DataFrame, part: DataFrame, block: int) -> DataFrame:
+    """(gid, side, node, part): what to compare inside bands of (band, node) that have several parts."""
+    own = bands.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    open_ = own.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("part").alias("p"), F.max("part").alias("q")
+    )
+    open_ = open_.where("p <> q").groupBy("n", "low", "x").agg(F.min("band").alias("band")).select("band", "n")
+    own = own.join(open_, "band")
+    pick = lambda df, gid, side: df.select(gid.alias("gid"), F.lit(side).alias("side"), "node", "part")
+    small = pick(own.where(F.col("n") <= block), F.col("band"), 2)
+    big = own.where(F.col("n") > block)
+    main = big.groupBy("band", "part").agg(F.count("*").alias("m"))
+    main = main.groupBy("band").agg(F.max_by("part", F.struct("m", "part")).alias("main"), (F.sum("m") - F.max("m")).alias("rest"))
+    big = big.join(main, "band").withColumns({"all": F.ceil(F.col("n") / block), "others": F.ceil(F.col("rest") / block)})
+    # Each block of the others meets each block of the band.
+    stray = big.where("part <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("others")))
+    stray = stray.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
+    each = big.withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("all")))
+    each = each.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    gid = F.xxhash64("band", F.col("i").cast("long"), F.col("j").cast("long"))
+    return small.unionByName(pick(stray, gid, 0)).unionByName(pick(each, gid, 1))
 
 
 def links(
-    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, star: int = STAR
 ) -> DataFrame:
-    """Verified links (a, b) that connect the near-duplicate classes; docs has node and text."""
-    signed_docs = materialise(docs.mapInArrow(_sign(bands, rows), "node long, bands array<long>, code binary"), "signatures")
-    placed = signed_docs.select(F.explode("bands").alias("band"), "node")
-    shared = (
-        placed.groupBy("band")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-        .where("low <> high")
-        .select("band", "low", "n")
-    )
-    near = placed.join(shared, "band").groupBy("low", "node").agg(F.sum("n").alias("mates"))
-    near = materialise(near, "candidates")
-    group = connected_components(near.select(F.col("low").alias("a"), F.col("node").alias("b")), "groups")
-    mates = near.groupBy("node").agg(F.sum("mates").alias("mates"))
-    code = signed_docs.groupBy("node").agg(F.max("code").alias("code"))
-    member = (
-        group.withColumnRenamed("id", "node").withColumnRenamed("component", "grp").join(mates, "node", "left")
-    )
-    # Equal texts become one row before they are dealt out, and the join needs no further shuffle of them.
-    text = docs.groupBy("node").agg(F.max("text").alias("text")).join(member, "node")
-    size = member.groupBy("grp").agg(F.count("*").alias("size"))
-    whole = materialise(text.join(code, "node").join(size, "grp"), "members")
-    pick = lambda df, gid, side: df.select(gid.alias("gid"), F.lit(side).alias("side"), "node", "code", "text")
-
-    found = _verified(pick(whole.where(F.col("size") <= block), F.xxhash64("grp"), 2), similarity, "links")
-    big = whole.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block))
-    if big.isEmpty():
-        return found
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))
-    hub = big.groupBy("grp", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("h")).agg(
-        F.max_by("node", F.struct("mates", "node")).alias("node")
-    )
-    hubs = big.join(hub.select("grp", "node"), ["grp", "node"])
-    hubs = hubs.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    first = pick(hubs, F.xxhash64("grp", F.col("at").cast("long")), 0).union(pick(big, F.xxhash64("grp", own), 1))
-    first = _verified(first, similarity, "hub-links")
-    part = connected_components(first, "hub-parts")
-    parts = big.select("grp", "node").join(part.withColumnRenamed("id", "node"), "node", "left")
-    parts = parts.withColumn("part", F.coalesce("component", "node")).select("grp", "node", "part")
-    main = parts.groupBy("grp", "part").agg(F.count("*").alias("n")).groupBy("grp")
-    main = main.agg(F.max_by("part", F.struct("n", "part")).alias("part"))
-    rest = parts.join(main, ["grp", "part"], "left_anti").select("grp", "node")
-    left = rest.groupBy("grp").agg(F.ceil(F.count("*") / block).alias("rest_blocks"))
-    stray = big.join(rest, ["grp", "node"]).join(left, "grp")
-    stray = stray.withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("rest_blocks")))
-    stray = stray.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = big.join(left, "grp").withColumn("j", own)
-    each = each.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)))
-    gid = F.xxhash64("grp", F.col("i").cast("long"), F.col("j").cast("long"))
-    second = _verified(pick(stray, gid, 0).union(pick(each, gid, 1)), similarity, "rest-links")
-    return found.union(first).union(second)
+    """Verified links (a, b) that connect the near-duplicate classes; docs has node and text, a node as often as it likes."""
+    sign = docs.mapInArrow(_sign(bands, rows), "node long, bands array<long>, code binary")
+    sign = materialise(sign.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("code").alias("code")), "signatures")
+    placed = sign.select(F.explode("bands").alias("band"), "node")
+    shared = placed.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
+    shared = materialise(shared, "bands")
+    # Of all places in bands a thousandth is in one band for at most a thousand bands.
+    hot = hot_keys(shared, "band", bands * sign.count())
+    placed = materialise(join_hot(placed, shared.select("band", "low"), "band", hot, "inner"), "placed")
+    near = materialise(placed.where("low <> node").select("low", "node").distinct(), "stars")
+    if near.isEmpty():
+        return near.select(F.col("low").alias("a"), F.col("node").alias("b"))
+    # Equal texts become one row before they are dealt out; only candidates go on.
+    some = near.select("node").union(near.select("low")).distinct()
+    text = docs.groupBy("node").agg(F.max("text").alias("text")).join(some, "node").join(sign.select("node", "code"), "node")
+    text = materialise(text, "texts")
+
+    size = near.groupBy("low").agg(F.ceil(F.count("*") / star).alias("blocks"))
+    hub = size.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = size.where("blocks > 1")
+    member = near.join(many, "low", "left_anti").withColumn("i", F.lit(0).cast("long"))
+    if not many.isEmpty():
+        spread = near.join(F.broadcast(many), "low").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
+        member = member.unionByName(spread)
+    gid = F.xxhash64("low", "i")
+    stars = hub.select(gid.alias("gid"), F.lit(0).alias("side"), F.col("low").alias("node"))
+    stars = stars.unionByName(member.select(gid.alias("gid"), F.lit(1).alias("side"), "node"))
+    found = _verified(stars.join(text, "node"), _star(similarity), "star-links")
+
+    part = connected_components(found, "parts").select(F.col("id").alias("node"), F.col("component").alias("part"))
+    rest = _verified(_blocked(placed.select("band", "node"), part, block).join(text, "node"), _compare(similarity), "band-links")
+    discard(sign, shared, placed, near, text)
+    return found.unionByName(rest)
 
 
 def near_components(docs: DataFrame, text: str = "text", **how) -> DataFrame:
@@ -282,17 +332,29 @@ def near_components(docs: DataFrame, text: str = "text", **how) -> DataFrame:
 
 def _told(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     """One row per row of docs: key, node (null without a word), root, class_id and class_size."""
-    base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("node"))
-    comp = near_components(docs, text, **how)
-    root = base.select(
-        "key",
-        F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("node")).alias("node"),
-    ).join(comp.withColumnRenamed("id", "node"), "node", "left")
-    root = root.select("key", "node", F.coalesce("component", "node").alias("root"))
-    told = root.where("root is not null").groupBy("root").agg(
-        F.min("key").alias("class_id"), F.count("*").alias("class_size")
+    wordy = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    base = docs.select(
+        F.col(key).alias("key"),
+        F.when(wordy, F.xxhash64(text)).alias("node"),
+        F.when(wordy, F.xxhash64(F.lit(7), F.col(text))).alias("second"),
+        F.col(text).alias("text"),
     )
-    return root.join(told, "root", "left")
+    counted = base.where("node is not null").groupBy("node", "second").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+    counted = materialise(counted, "nodes")
+    # Different texts with one first hash: all but one of them go by both hashes.
+    clash = counted.groupBy("node").agg(F.min("second").alias("own"), F.count("*").alias("c")).where("c > 1").drop("c")
+    if not (clash := materialise(clash, "clashes")).isEmpty():
+        apart = lambda df: df.join(clash, "node", "left").withColumn(
+            "node", F.when(F.col("second") == F.coalesce("own", "second"), F.col("node")).otherwise(F.xxhash64("node", "second"))
+        ).drop("own")
+        base, counted = apart(base), apart(counted)
+    comp = connected_components(links(base.where("node is not null").select("node", "text"), **how), "classes")
+    counted = counted.select("node", "least", "n").join(comp.withColumnRenamed("id", "node"), "node", "left")
+    counted = materialise(counted.select("node", "least", "n", F.coalesce("component", "node").alias("root")), "rooted")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    group = counted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    told = join_hot(counted.select("node", "root"), group, "root", hot_keys(group, "root", total, "class_size"))
+    return join_hot(base.select("key", "node"), materialise(told, "told"), "node", hot_keys(counted, "node", total))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
