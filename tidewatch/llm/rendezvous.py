@@ -9,7 +9,11 @@ are counted before anything moves, and positions come from two levels: totals
 of fixed-size hash buckets, then running sums inside a bucket, so neither a
 hot key nor a hot text gathers in one task.
 
-Null keys hash as the empty string and null texts have no bytes.
+Null keys hash as the empty string and null texts, like empty ones, have no
+bytes; a long text counts with all its bytes.  Records that are equal in key,
+size and checksum take consecutive slots; equal draws, which need equal md5
+heads, go to the lowest shard.  An empty table gives an empty one.  Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialise, read_table
 
 SHARDS = 16
 _CHUNK = 1 << 16
@@ -30,43 +34,51 @@ def draw(key: Column, shard: str) -> Column:
     return (F.conv(head, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def assign(key: Column, weights: dict[int, float]) -> Column:
-    """The shard, of positive weights by shard number, that a string key goes to."""
+def bids(key: Column, weights: dict[int, float]) -> Column:
+    """Weighted draws of a string key for each shard of positive weight, in order of shard numbers."""
     text = F.coalesce(key, F.lit("")).cast("binary").cast("string")
-    bids = [
-        F.struct((F.lit(-float(w)) / F.log(draw(text, str(s)))).alias("bid"), F.lit(-s).alias("s"))
-        for s, w in sorted(weights.items())
-        if w > 0
-    ]
-    return -F.array_max(F.array(*bids))["s"]
+    return F.array(
+        *[
+            F.struct((F.lit(-float(w)) / F.log(draw(text, str(s)))).alias("bid"), F.lit(-s).alias("s"))
+            for s, w in sorted(weights.items())
+            if w > 0
+        ]
+    )
+
+
+def winner(bids: Column) -> Column:
+    return -F.array_max(bids)["s"]
 
 
 def place(docs: DataFrame, weights: dict[int, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, law, shard, slot and grown_shard of each row."""
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(
-        F.col(key),
+        F.col(key).alias("_key"),
         (F.octet_length(raw).cast("long") + 1).alias("size"),
         F.crc32(raw).alias("text_crc32"),
     )
-    same = rows.groupBy(key, "size", "text_crc32").agg(F.count("*").alias("_n"))
+    same = rows.groupBy("_key", "size", "text_crc32").agg(F.count("*").alias("_n"))
+    name = F.coalesce(F.col("_key").cast("string"), F.lit(""))
     grown = weights | {max(weights) + 1: sum(weights.values()) / len(weights)}
+    # Each draw is made once; the new shard's is the last of them.
+    same = same.select("*", name.alias("_name"), bids(name, grown).alias("_bids"))
     same = same.select(
-        "*",
-        assign(name, weights).alias("shard"),
-        assign(name, grown).alias("grown_shard"),
-        F.substring(F.md5(F.concat(name, F.lit("/"), F.col("text_crc32").cast("string"))), 1, 3).alias("_bucket"),
-    )
+        "_key", "size", "text_crc32", "_n",
+        winner(F.slice("_bids", 1, F.size("_bids") - 1)).alias("shard"),
+        winner(F.col("_bids")).alias("grown_shard"),
+        F.substring(F.md5(F.concat("_name", F.lit("/"), F.col("text_crc32").cast("string"))), 1, 3).alias("_bucket"),
+    )
+    same = materialise(same, "placed")
     base = same.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_all"))
     before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     base = base.select("shard", "_bucket", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("shard", "_bucket").orderBy(key, "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("shard", "_bucket").orderBy("_key", "size", "text_crc32").rowsBetween(W.unboundedPreceding, -1)
     own = same.withColumn("_own", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(base, ["shard", "_bucket"])
     own = own.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(_CHUNK).cast("long"))))
     own = own.withColumn("_i", F.explode(F.sequence(F.col("_a"), F.least(F.col("_a") + _CHUNK - 1, F.col("_n") - 1))))
     return own.select(
-        key,
+        F.col("_key").alias(key),
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
