@@ -9,9 +9,13 @@ difference into a probability.  It also knows the smaller size as a share of
 the text, for texts that repeat themselves are small under any dictionary.
 
 Only the fit uses a sample: at most ``per_label`` labelled rows of either
-label, picked by a hash of the key.  Every text is scored whole.  Nulls and
-empty texts get the share of good labels.  Keys with contradicting labels
-teach nothing; without labels of both kinds every score is that share, or 0.5.
+label, picked by a hash of the key, of texts of at most ``fit_chars``
+characters, so that what reaches the driver is bounded.  Every text is scored
+whole, however long.  Nulls and empty texts get the share of good labels.
+Keys with contradicting labels teach nothing, and of texts that share a key
+the least one teaches; without labels of both kinds, or any rows, every score
+is that share, or 0.5.  Repeated rows and ties score alike.  An empty table
+gives an empty one.  Further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import types as T
 from .common import read_table
 
 PER_LABEL = 2000
+FIT_CHARS = 50_000
 DICT_BYTES = 64 * 1024
 SEGMENT = 2048
 LEVEL = 3
@@ -114,7 +119,9 @@ def fit_texts(rows: list[tuple[str, int]], prior: float | None = None) -> Model:
     return Model(dicts[1], dicts[0], (*w[:-1].tolist(), float(w[-1] + base)), share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_label: int = PER_LABEL) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_label: int = PER_LABEL, fit_chars: int = FIT_CHARS
+) -> Model:
     """Fit on at most per_label rows of each label, never on held-out keys."""
     known = labels.where(~held_out(key) & F.col("quality").isin(0, 1) & F.col(key).isNotNull())
     known = known.groupBy(key).agg(F.min("quality").alias("q"), F.max("quality").alias("r")).where("q = r")
@@ -122,44 +129,52 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     order = F.xxhash64(F.col(key))
     pick = [known.where(F.col("q") == q).orderBy(order, key).limit(per_label).select(key, "q") for q in (0, 1)]
     rows = (
-        docs.select(key, text)
+        docs.select(F.col(key), F.col(text).alias("_text"))
+        .where(F.length("_text") <= fit_chars)
         .join(F.broadcast(pick[0].union(pick[1])), key)
         .groupBy(key)
-        .agg(F.min(text).alias("t"), F.min("q").alias("q"))
+        .agg(F.min("_text").alias("t"), F.min("q").alias("q"))
         .collect()
     )
     rows.sort(key=lambda r: r[key])
     return fit_texts([(r["t"], r["q"]) for r in rows], None if share is None else float(share))
 
 
+def _rated(model, texts: list[str | None]) -> list[float]:
+    sizes = _Sizes(model) if model.good else None
+    return [model.probability(sizes.measure(t)) if t and sizes else model.prior for t in texts]
+
+
 def _score(model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        sizes = _Sizes(m) if m.good else None
         for batch in batches:
-            scores = []
-            for t in batch.column(text).to_pylist():
-                if t and sizes:
-                    scores.append(m.probability(sizes.measure(t)))
-                else:
-                    scores.append(m.prior)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"]
-            )
+            scores = pa.array(_rated(model.value, batch.column(text).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with one more column, _score."""
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "_score") -> DataFrame:
+    """docs with one more column; it must have a name that docs has not."""
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name!r}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(_score(shared, text), schema)
 
 
+def _keep(model, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([p >= 0.5 for p in _rated(model.value, batch.column(text).to_pylist())], pa.bool_()))
+
+    return run
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that score 0.5 or more, with their columns unchanged."""
-    return score(docs, fit(docs, labels, key, text), text).where("_score >= 0.5").drop("_score")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text))
+    return docs.mapInArrow(_keep(shared, text), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
