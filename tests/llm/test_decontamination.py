@@ -36,12 +36,16 @@ def test_against_brute_force(spark):
             k = rng.randrange(len(text))
             text[k : k + rng.randint(0, 1)] = rng.choice("abcdefgh ")
         docs.append((i, f"{words(30)}\n{''.join(text).upper()} -- {words(20)}"))
+    docs += [(903, "it was their destiny"), (904, "Tiny!"), (905, "so tiny a thing")]
     docs += [(900, None), (901, ""), (902, words(400))]
     want = set()
     for i, text in docs:
         for j, item in items:
             p, t = d.normalise(item), d.normalise(text)
-            if p and t and (e := least_edits(p, t)) <= d.budget(len(p), d.RATE):
+            if p and t and d.budget(len(p), d.RATE) == 0:
+                if f" {p} " in f" {t} ":
+                    want.add((i, j, 0))
+            elif p and t and (e := least_edits(p, f" {t} ")) <= d.budget(len(p), d.RATE):
                 want.add((i, j, e))
     table = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")

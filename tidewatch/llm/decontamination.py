@@ -10,10 +10,17 @@ unchanged piece up to the whole every part of j pieces has at most j - 1, so a
 chance hit dies on a short part.  Nothing within the budget is missed and
 nothing beyond it reported.
 
-Documents are never shuffled.  Items are handled in blocks of at most
-``block_chars`` characters, each small enough to broadcast.  Null and wordless
-items match nothing; null texts hold nothing.  Items with equal texts are all
-reported.
+An item too short for one error must stand as whole words: "tiny" is not in
+"destiny".
+
+Documents are never shuffled, and each is searched whole, however long.  Items
+are handled in blocks of about ``block_chars`` characters, each small enough to
+broadcast; each block is one more pass over the documents.  Null, empty and
+wordless items match nothing; null and empty texts hold nothing.  Items with
+equal texts are all reported, null ids as null; repeated documents are all
+reported.  Of ties the first best match counts.  Keys may be null and of any
+type.  No documents give no rows, no items keep all documents.  Further columns
+stay (``clean``) or are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import keyed_schema, read_table
 
 RATE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -98,16 +105,17 @@ def tree(cut: list[int]) -> list[list[tuple[int, int, int]]]:
 class Matcher:
     """All items of one block, compiled."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
         self.auto = ahocorasick.Automaton()
         places: dict[str, list[tuple]] = {}
         self.texts: list[tuple[list[int], str, int]] = []
-        groups: dict[str, list[int]] = {}
+        groups: dict[str, list[int | None]] = {}
         for item, raw in items:
             if text := normalise(raw):
                 groups.setdefault(text, []).append(item)
         for n, (text, ids) in enumerate(groups.items()):
             k = budget(len(text), rate)
+            text = text if k else f" {text} "
             self.texts.append((ids, text, k))
             parts = pieces(text, k)
             above = tree([at for at, _ in parts] + [len(text)])
@@ -130,6 +138,7 @@ class Matcher:
         text = normalise(raw)
         if not text or not self.texts:
             return []
+        text, size = f" {text} ", len(text)
         best: dict[int, tuple[int, int]] = {}
         seen: dict[int, list[int]] = {}
         for end, (size, where) in self.auto.iter(text):
@@ -146,7 +155,7 @@ class Matcher:
                     edits, stop = self._distance(n, 0, m, text[low : start + m + 2 * k])
                     best[n] = min(best.get(n, (m, 0)), (edits, low + stop))
                     seen.setdefault(n, []).append(start)
-        return [(i, *hit) for n, hit in best.items() for i in self.texts[n][0]]
+        return [(i, edits, min(stop - 1, size)) for n, (edits, stop) in best.items() for i in self.texts[n][0]]
 
 
 _made: dict[str, Matcher] = {}
@@ -161,16 +170,16 @@ def _matcher(items, rate: float) -> Matcher:
     return _made[key]
 
 
-def _report(items, rate: float, key: str, text: str, kind: pa.DataType):
+def _report(items, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(items, rate)
         for batch in batches:
             rows = []
-            for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist()):
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 rows += [(k, *hit) for hit in m.find(t)]
             yield pa.record_batch(
                 {
-                    key: pa.array([r[0] for r in rows], kind),
+                    "key": pa.array([r[0] for r in rows], batch.schema.field("key").type),
                     "item_id": pa.array([r[1] for r in rows], pa.int64()),
                     "edits": pa.array([r[2] for r in rows], pa.int32()),
                     "match_end": pa.array([r[3] for r in rows], pa.int32()),
@@ -197,7 +206,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> list:
     out = []
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())
+        rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         out.append(benchmark.sparkSession.sparkContext.broadcast(rows))
     return out
 
@@ -206,14 +215,13 @@ def matches(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """(key, item_id, edits, match_end) of each item that a document holds."""
-    own = docs.select(key, text)
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[own.schema[key].dataType.simpleString()]
-    schema = f"`{key}` {own.schema[key].dataType.simpleString()}, item_id long, edits int, match_end int"
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = keyed_schema(docs, key, "item_id long, edits int, match_end int")
     out = None
     for items in _blocks(benchmark, block_chars):
-        part = own.mapInArrow(_report(items, rate, key, text, kind), schema)
+        part = own.mapInArrow(_report(items, rate), schema)
         out = part if out is None else out.union(part)
-    return out
+    return out.select(F.col("key").alias(key), "item_id", "edits", "match_end")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
