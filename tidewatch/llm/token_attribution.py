@@ -11,7 +11,10 @@ boundary goes by ``rule``:
 
 Tokens, or parts of them under ``split``, that no section covers are counted
 under the section number -1, so that counts add up to the document's tokens.
-Sections are sorted, disjoint character spans.  Null texts have no rows.  The
+Sections are sorted, disjoint character spans.  Null texts have no rows, nor
+have empty ones; a long text is encoded whole, and repeated rows each have
+their own rows.  Keys may be null and of any type.  An empty table gives an
+empty one.  Other columns are not looked at, whatever their names.  The
 vocabulary is read on the driver and broadcast: its size is that of a
 tokenizer file.
 """
@@ -27,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import keyed_schema, read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting rule of byte-level BPE with this vocabulary.
@@ -122,7 +125,7 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     return cut[:-1], cut[1:]
 
 
-def _count(ranks, rule: str, kind: pa.DataType, sections):
+def _count(ranks, rule: str, sections):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(ranks)
         for batch in batches:
@@ -150,7 +153,7 @@ def _count(ranks, rule: str, kind: pa.DataType, sections):
                 keys += [key] * (len(begin) + bool(outside))
             yield pa.record_batch(
                 {
-                    "key": pa.array(keys, kind),
+                    "key": pa.array(keys, batch.schema.field("key").type),
                     "section": pa.array(number, pa.int32()),
                     "begin": pa.array(first, pa.int64()),
                     "end": pa.array(last, pa.int64()),
@@ -176,8 +179,6 @@ def attribute(
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    name = docs.schema[key].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
     named = not callable(sections)
     own = docs.select(
         F.col(key).alias("key"),
@@ -185,9 +186,9 @@ def attribute(
         *([F.col(sections[0]).alias("begin"), F.col(sections[1]).alias("end")] if named else []),
     )
     ranks = _Shared(docs.sparkSession, vocabulary)
-    schema = f"key {name}, section int, begin long, end long, n_tokens double"
-    out = own.mapInArrow(_count(ranks, rule, kind, None if named else sections), schema)
-    return out.withColumnRenamed("key", key)
+    schema = keyed_schema(docs, key, "section int, begin long, end long, n_tokens double")
+    out = own.mapInArrow(_count(ranks, rule, None if named else sections), schema)
+    return out.select(F.col("key").alias(key), "section", "begin", "end", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
