@@ -37,3 +37,10 @@ def test_threads(spark):
     assert {r["root_turn"] for r in out} == {0}
     assert by[2]["clean_text"] == "Thanks!\nBye" and by[2]["n_quotes"] == 3 and by[2]["n_linked"] == 2
     assert [r["turn"] for r in out] == [0, 1, 2, 3, 3]
+
+
+def test_quoting_talks_against_sql(spark, same_as_sql):
+    sf = "/root/testdata/sf0.01"
+    assert same_as_sql(quotations.query_quoting, quotations.ORACLE["quotation_linking_quoting"], sf) > 0
+    rows = quotations.query_quoting(spark, sf).collect()
+    assert sum(r["n_linked"] > 0 for r in rows) > len(rows) / 2 and max(r["depth"] for r in rows) > 2

@@ -15,13 +15,17 @@ the first message by an aggregate before any join, so a line said by a third
 of all messages is one row there.
 
 A quote whose original is missing stays unlinked and is still removed.  Null
-texts are empty, null turns are before all others, a null conversation is a
-conversation, and rows that repeat a conversation and turn share their links.
+texts are empty, null turns are before all others and stay null, a null
+conversation is a conversation, and rows that repeat a conversation and turn
+share their links.  Of tied originals the latest is answered.  Long texts are
+parsed whole; empty ones say nothing.  An empty table gives an empty one.
+Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table
@@ -188,16 +192,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_quotation_linking": query}
+def quoting(messages: DataFrame) -> DataFrame:
+    """Conversations in which each message quotes the two before it, as mail readers do.
 
-ORACLE = {
-    "op1_quotation_linking": r"""
-WITH RECURSIVE l AS (
+    Every line of the message before stands behind one mark, then the first
+    line of the one before that behind two; every fifth message has its quote
+    in other letters and spaces, every seventh a quote that nobody said.
+    """
+    w = W.partitionBy("conv_id").orderBy("turn")
+    out = messages.select("conv_id", "turn", "role", "text", F.lag("text", 1).over(w).alias("a"), F.lag("text", 2).over(w).alias("b"))
+    a = F.when(F.col("turn") % 5 == 4, F.translate(F.regexp_replace("a", " ", "  "), "aeiou", "AEIOU")).otherwise(F.col("a"))
+    one = F.concat(F.lit("> "), F.regexp_replace(a, "\n", "\n> "), F.lit("\n"))
+    two = F.concat(F.lit("> > "), F.split("b", "\n")[0], F.lit("\n"))
+    odd = F.when(F.col("turn") % 7 == 6, "> nobody said this\n").otherwise("")
+    text = F.concat(F.coalesce(two, F.lit("")), F.coalesce(one, F.lit("")), odd, "text")
+    return out.select("conv_id", "turn", "role", text.alias("text"))
+
+
+def query_quoting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator on conversations made to quote; those of the tables hold no quote."""
+    return link(quoting(read_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {"op1_quotation_linking": query, "quotation_linking_quoting": query_quoting}
+
+_LINK = r"""l AS (
   SELECT row_number() OVER () AS rid, conv_id, coalesce(turn, -1) AS pos, turn, role, coalesce(text, '') AS text,
     [{'level': length(regexp_replace(regexp_extract(x, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')),
       'body': regexp_replace(x, '^[ \t]*((?:>[ \t]?)+)', '')}
      for x in regexp_split_to_array(coalesce(text, ''), '\r?\n')] AS lines
-  FROM conversations),
+  FROM talks),
 m AS (
   SELECT *, CASE WHEN len(list_filter(lines, lambda x: x.level > 0)) > 0
     THEN trim(array_to_string([x.body for x in lines if x.level = 0], chr(10)), E' \t\r\n') ELSE text END AS clean_text
@@ -237,4 +261,17 @@ LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM m.conv_id AND k.pos = m.pos
 LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.pos = m.pos
 LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM m.conv_id AND o.pos = m.pos
 """
+
+_QUOTING = r"""q0 AS (
+  SELECT conv_id, turn, role, text, lag(text, 1) OVER w AS a, lag(text, 2) OVER w AS b
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q1 AS (SELECT * REPLACE (CASE WHEN turn % 5 = 4 THEN translate(replace(a, ' ', '  '), 'aeiou', 'AEIOU') ELSE a END AS a) FROM q0),
+talks AS (
+  SELECT conv_id, turn, role, coalesce('> > ' || string_split(b, chr(10))[1] || chr(10), '')
+    || coalesce('> ' || replace(a, chr(10), chr(10) || '> ') || chr(10), '')
+    || CASE WHEN turn % 7 = 6 THEN '> nobody said this' || chr(10) ELSE '' END || text AS text FROM q1)"""
+
+ORACLE = {
+    "op1_quotation_linking": f"WITH RECURSIVE talks AS (SELECT * FROM conversations), {_LINK}",
+    "quotation_linking_quoting": f"WITH RECURSIVE {_QUOTING}, {_LINK}",
 }
