@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
-from tidewatch.llm import packing
+from pyspark.sql import functions as F
+
+from tidewatch.llm import minhash_dedup, packing
+from tidewatch.llm import token_attribution as ta
 
 
 def plain(items, capacity):
@@ -35,27 +38,79 @@ def test_against_all_bins():
         assert packing.best_fit(items, 100)[0] == plain(items, 100)
 
 
-def test_bins_hold_their_rules(spark):
-    rng = random.Random(8)
-    docs = spark.createDataFrame(
-        [(i, "w " * rng.choice([0, 3, 100, 900, 2048, 5000]), f"s{rng.choice([0, 0, 0, *range(9)])}") for i in range(400)],
-        "doc_id long, text string, source string",
-    )
-    out = packing.pack(docs, group=64).collect()
+def check_bins(out, capacity=packing.CAPACITY):
     bins = defaultdict(list)
     for r in out:
         bins[r["bin"]].append(r)
     for own in bins.values():
-        assert sum(r["size"] for r in own) <= packing.CAPACITY
-        assert len({r["source"] for r in own}) == len(own)
+        assert sum(r["size"] for r in own) <= capacity
+        known = [r["source"] for r in own if r["source"] is not None]
+        assert len(set(known)) == len(known)
         known = [r["cluster"] for r in own if r["cluster"] is not None]
         assert len(set(known)) == len(known)
         spans = sorted((r["bin_offset"], r["bin_offset"] + r["size"]) for r in own)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
-    total = defaultdict(int)
+
+
+def encode(text):
+    return ta.Encoder(ta.read_vocabulary(ta.VOCABULARY)).tool.encode_ordinary(text)
+
+
+def test_bins_hold_their_rules(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame(
+        [(i, "wo rd " * rng.choice([0, 3, 100, 900, 1024, 2500]), f"s{rng.choice([0, 0, 0, *range(9)])}") for i in range(400)],
+        "doc_id long, text string, source string",
+    )
+    own = packing.items(docs, ids=True).cache()
+    out = packing.pack(own, group=64).collect()
+    check_bins(out)
+    tokens = defaultdict(dict)
+    for r in out:
+        assert len(r["token_ids"]) == r["size"]
+        tokens[r["doc_id"]][r["piece"]] = r["token_ids"]
+    for r in docs.collect():
+        assert [t for i in sorted(tokens[r["doc_id"]]) for t in tokens[r["doc_id"]][i]] == encode(r["text"])
+    assert len(docs.where("doc_id < 150").collect()) == 150
+    # Groups have exactly so many items, each task's last one apart.
+    assert out == packing.pack(own, group=64).collect()
+
+
+def test_sequences_round_trip(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i * 40), f"s{i % 5}") for i in range(30)], "doc_id long, text string, source string")
+    packed = packing.pack_texts(docs)
+    rows = packing.sequences(packed).collect()
+    got = defaultdict(dict)
+    for r in rows:
+        assert r["n_tokens"] == len(r["token_ids"]) <= packing.CAPACITY
+        for p in r["parts"]:
+            got[p["key"]][p["piece"]] = r["token_ids"][p["begin"] : p["begin"] + p["size"]]
+    for r in docs.where("doc_id > 0").collect():
+        assert [t for i in sorted(got[r["doc_id"]]) for t in got[r["doc_id"]][i]] == encode(r["text"])
+
+
+def test_query_against_all_bins(spark):
+    """The query's own items, packed by the plain search: one group, so the very same bins."""
+    sf = "/root/testdata/sf0.001"
+    out = packing.query(spark, sf).collect()
+    check_bins(out)
+    size = defaultdict(int)
     for r in out:
-        total[r["doc_id"]] += r["size"]
-    assert all(total[r["doc_id"]] == len(r["text"].split()) for r in docs.collect())
+        size[r["doc_id"]] += r["size"]
+    enc = ta.Encoder(ta.read_vocabulary(ta.VOCABULARY)).tool
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert {d["doc_id"]: len(enc.encode_ordinary(d["text"] or "")) for d in docs} == dict(size)
+    near = {r["doc_id"]: r["class_id"] for r in minhash_dedup.classes(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    cluster = {r["doc_id"]: r["cluster"] for r in out}
+    wordy = [d["doc_id"] for d in docs if (d["text"] or "").split()]
+    assert len({(near[i], cluster[i]) for i in wordy}) == len({near[i] for i in wordy}) == len({cluster[i] for i in wordy})
+    assert len(out) <= packing.GROUP
+    tie = spark.createDataFrame(out).select(
+        "*", F.xxhash64("doc_id", F.col("piece").cast("int"), "size", "source", "cluster").alias("tie")
+    ).orderBy("tie").collect()
+    where = plain([(r["size"], r["source"], r["cluster"]) for r in tie], packing.CAPACITY)
+    same = {(r["bin"], w) for r, w in zip(tie, where)}
+    assert len(same) == len({b for b, _ in same}) == len({w for _, w in same})
 
 
 def test_near_copies_share_no_bin(spark, tmp_path):

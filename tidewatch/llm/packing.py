@@ -8,13 +8,20 @@ compatible bin; at each room the bins, the source's bins and the cluster's
 bins are bitmaps, so one and-not finds a compatible bin or shows that there is
 none.
 
-A text longer than the capacity is cut into full pieces and a rest.  Nulls and
-empty texts are items of size 0 without a cluster.  A null source conflicts
-with none.
-
-Packing is independent in groups of about ``group`` items.  Groups are dealt
+Sizes are tokens of a public vocabulary, whose path is a parameter.  A text
+longer than the capacity is cut into full pieces and a rest, so a long text
+is no special case.  Nulls and empty texts are items of size 0 without a
+cluster.  A null source conflicts with none.  Repeated rows are items of their
+own that share a cluster.  Items of equal size go in the order of a hash of
+all that is known of them, so that a task that runs again packs alike.  An
+empty table gives an empty one.  Other columns are not looked at, whatever
+their names; keys may be null and of any type.
+
+Packing is independent in groups of ``group`` items.  Groups are dealt
 round-robin, so no key, source or cluster makes one larger than another; Spark
-sorts before it deals, so a task that runs again deals the same.
+sorts before it deals, so a task that runs again deals the same.  Each task
+packs one group after the other, so the number of tasks does not grow with
+that of the groups.
 """
 
 from __future__ import annotations
@@ -22,23 +29,49 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, read_table
+from .common import hot_keys, join_hot, materialise, read_table
 from .minhash_dedup import near_components
+from .token_attribution import VOCABULARY, Shared, encoder
 
 CAPACITY = 2048
 GROUP = 8192
 
 
-def word_count(text: str = "text") -> Column:
-    """Words of a text; 0 for nulls."""
-    flat = F.translate(F.col(text), "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.array_remove(F.split(flat, " "), "")), F.lit(0)).cast("long")
+def _tokens(ranks, ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(ranks)
+        for batch in batches:
+            made = [enc.tool.encode_ordinary(t) if t else [] for t in batch.column("_text").to_pylist()]
+            columns = {name: batch.column(name) for name in batch.schema.names if name != "_text"}
+            columns["_size"] = pa.array(map(len, made), pa.int64())
+            if ids:
+                columns["_ids"] = pa.array(made, pa.list_(pa.int32()))
+            yield pa.record_batch(columns)
+
+    return run
+
+
+def items(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cluster: Column | None = None,
+    vocabulary: str = VOCABULARY, ids: bool = False,
+) -> DataFrame:
+    """_key, _source, _cluster, _size in tokens and, on demand, _ids: the tokens themselves."""
+    own = docs.select(
+        F.col(key).alias("_key"),
+        F.col(source).cast("string").alias("_source"),
+        (normal_cluster(text) if cluster is None else cluster).alias("_cluster"),
+        F.col(text).alias("_text"),
+    )
+    added = [T.StructField("_size", T.LongType()), *([T.StructField("_ids", T.ArrayType(T.IntegerType()))] if ids else [])]
+    schema = T.StructType([*own.schema.fields[:3], *added])
+    return own.mapInArrow(_tokens(Shared(docs.sparkSession, vocabulary), ids), schema)
 
 
 def normal_cluster(text: str = "text") -> Column:
@@ -48,7 +81,7 @@ def normal_cluster(text: str = "text") -> Column:
 
 
 def best_fit(items: list[tuple[int, object, object]], capacity: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each (size, source, cluster), placed largest first."""
+    """Bin and offset of each (size, source, cluster), placed largest first, equal sizes in order of the list."""
     order = sorted(range(len(items)), key=lambda i: -items[i][0])
     at_room: dict[int, int] = {}
     rooms = 0
@@ -97,6 +130,7 @@ def _pack(capacity: int, group: int):
             nonlocal done
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
+            table = table.take(pa.array(np.argsort(table.column("_tie").to_numpy(), kind="stable")))
             columns = (table.column(c).to_pylist() for c in ("_size", "_source", "_cluster"))
             bins, offsets = best_fit(list(zip(*columns)), capacity)
             first = (part << 32) + done
@@ -106,9 +140,11 @@ def _pack(capacity: int, group: int):
             return table.combine_chunks().to_batches()[0]
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                if sum(b.num_rows for b in held) >= group:
+            while batch.num_rows:
+                room = group - sum(b.num_rows for b in held)
+                held.append(batch.slice(0, room))
+                batch = batch.slice(room)
+                if sum(b.num_rows for b in held) == group:
                     yield pack()
         if held:
             yield pack()
@@ -116,55 +152,53 @@ def _pack(capacity: int, group: int):
     return run
 
 
-def pack(
-    docs: DataFrame,
-    key: str = "doc_id",
-    size: Column | None = None,
-    source: Column | None = None,
-    cluster: Column | None = None,
-    capacity: int = CAPACITY,
-    group: int = GROUP,
-) -> DataFrame:
-    """(key, piece, n_pieces, size, source, cluster, bin, bin_offset), one row per piece.
-
-    Defaults take words of ``text``, the column ``source`` and equal texts.
-    """
+def pack(own: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+    """(key, piece, n_pieces, size, source, cluster, bin, bin_offset[, token_ids]), one row per piece of the items."""
+    long = F.lit(capacity).cast("long")
     count = F.greatest(F.ceil(F.col("_all") / capacity), F.lit(1)).cast("int")
-    items = docs.select(
-        F.col(key).alias("_key"),
-        (word_count() if size is None else F.coalesce(size, F.lit(0))).cast("long").alias("_all"),
-        (F.col("source") if source is None else source).cast("string").alias("_source"),
-        (normal_cluster() if cluster is None else cluster).alias("_cluster"),
-    ).withColumn("_n", count)
-    items = items.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    items = items.withColumn(
-        "_size", F.least(F.lit(capacity).cast("long"), F.col("_all") - F.col("_piece") * F.lit(capacity).cast("long"))
-    ).drop("_all")
-    rows = docs.count()
-    spread = items.repartition(max(1, math.ceil(rows / group)))
+    cut = own.withColumnsRenamed({"_size": "_all", **({"_ids": "_every"} if "_ids" in own.columns else {})}).withColumn("_n", count)
+    cut = cut.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    cut = cut.withColumn("_size", F.least(long, F.col("_all") - F.col("_piece") * long))
+    if "_ids" in own.columns:
+        cut = cut.withColumn("_ids", F.slice("_every", F.col("_piece") * capacity + 1, F.lit(capacity))).drop("_every")
+    cut = cut.drop("_all").withColumn("_tie", F.xxhash64("_key", "_piece", "_size", "_source", "_cluster"))
+    spark = own.sparkSession
+    tasks = min(math.ceil(own.count() / group), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = cut.repartition(max(1, tasks))
     added = [T.StructField("_bin", T.LongType()), T.StructField("_offset", T.LongType())]
     schema = T.StructType([*spread.schema.fields, *added])
-    return spread.mapInArrow(_pack(capacity, group), schema).select(
-        F.col("_key").alias(key),
-        F.col("_piece").alias("piece"),
-        F.col("_n").alias("n_pieces"),
-        F.col("_size").alias("size"),
-        F.col("_source").alias("source"),
-        F.col("_cluster").alias("cluster"),
-        F.col("_bin").alias("bin"),
-        F.col("_offset").alias("bin_offset"),
-    )
+    names = {"_key": key, "_piece": "piece", "_n": "n_pieces", "_size": "size", "_source": "source", "_cluster": "cluster", "_bin": "bin", "_offset": "bin_offset"}
+    names |= {"_ids": "token_ids"} if "_ids" in own.columns else {}
+    return spread.mapInArrow(_pack(capacity, group), schema).select(*[F.col(c).alias(n) for c, n in names.items()])
+
+
+def sequences(packed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per bin of rows with token_ids: its tokens in order, and key, begin and size of each part.
+
+    A bin holds no more than the capacity, so no group is unbounded.
+    """
+    part = F.struct(F.col("bin_offset").alias("begin"), "size", F.col(key).alias("key"), "piece", "token_ids")
+    own = packed.where("size > 0").groupBy("bin").agg(F.sum("size").alias("n_tokens"), F.sort_array(F.collect_list(part)).alias("_p"))
+    return own.select(
+        "bin", "n_tokens", F.flatten(F.transform("_p", lambda x: x["token_ids"])).alias("token_ids"),
+        F.transform("_p", lambda x: F.struct(x["key"].alias("key"), x["piece"].alias("piece"), x["begin"].alias("begin"), x["size"].alias("size"))).alias("parts"),
+    )
+
+
+def pack_texts(docs: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Packed pieces of the texts with their tokens; clusters are equal texts."""
+    return pack(materialise(items(docs, key, vocabulary=vocabulary, ids=True), "items"), key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters are the near-duplicate classes of op5."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    near = near_components(docs).select(F.col("id").alias("_node"), "component")
+    near = near_components(docs).select(F.col("id").alias("_node"), F.col("component").alias("_class"))
     wordy = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    items = docs.select("doc_id", "source", word_count().alias("_words"), F.when(wordy, F.xxhash64("text")).alias("_node"))
-    items = items.join(near, "_node", "left").withColumn("_class", F.coalesce("component", "_node"))
-    items = materialise(items.select("doc_id", "source", "_words", "_class"), "items")
-    return pack(items, size=F.col("_words"), cluster=F.col("_class"))
+    own = materialise(items(docs, cluster=F.when(wordy, F.xxhash64("text"))).withColumnRenamed("_cluster", "_node"), "texts")
+    hot = hot_keys(own.groupBy("_node").agg(F.count("*").alias("n")), "_node", own.count())
+    own = join_hot(own, near, "_node", hot).withColumn("_cluster", F.coalesce("_class", "_node"))
+    return pack(materialise(own.drop("_node", "_class"), "items"))
 
 
 QUERIES = {"op4_packing": query}

@@ -101,7 +101,7 @@ def allocate(ends: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str) ->
 _made: dict[int, Encoder] = {}
 
 
-def _encoder(ranks) -> Encoder:
+def encoder(ranks) -> Encoder:
     """Built once for each worker and vocabulary."""
     if ranks.id not in _made:
         _made.clear()
@@ -109,7 +109,7 @@ def _encoder(ranks) -> Encoder:
     return _made[ranks.id]
 
 
-class _Shared:
+class Shared:
     def __init__(self, spark: SparkSession, path: str):
         self.id, self.held = path, spark.sparkContext.broadcast(read_vocabulary(path))
 
@@ -127,7 +127,7 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(ranks, rule: str, sections):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(ranks)
+        enc = encoder(ranks)
         for batch in batches:
             keys, number, first, last, counts = [], [], [], [], []
             spans = zip(*(batch.column(c).to_pylist() for c in ("begin", "end"))) if sections is None else None
@@ -185,7 +185,7 @@ def attribute(
         F.col(text).alias("text"),
         *([F.col(sections[0]).alias("begin"), F.col(sections[1]).alias("end")] if named else []),
     )
-    ranks = _Shared(docs.sparkSession, vocabulary)
+    ranks = Shared(docs.sparkSession, vocabulary)
     schema = keyed_schema(docs, key, "section int, begin long, end long, n_tokens double")
     out = own.mapInArrow(_count(ranks, rule, None if named else sections), schema)
     return out.select(F.col("key").alias(key), "section", "begin", "end", "n_tokens")
