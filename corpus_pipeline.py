@@ -1,4 +1,12 @@
-"""A corpus pipeline: five stages, each on all documents its predecessor kept."""
+"""A corpus pipeline: five stages, each on all documents its predecessor kept.
+
+Null and empty texts pass every filter that they can: they score the share of
+good labels, are no copies, hold no item and no secret, and are packed with
+size 0.  Long texts are handled whole.  Of near copies and repeated keys the
+first key stays, see ``minhash_dedup.keep_one``; other repeated rows and rows
+without a key stay.  Columns beyond those of documents stay up to the last
+stage, whatever their names.  Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +37,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go into bins of one context each."""
-    return packing.pack(docs)
+    """Documents go, cut into tokens, into bins of one context each."""
+    return packing.pack_texts(docs)
 
 
 STAGES = [
