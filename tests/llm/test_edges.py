@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import zlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ ITEM = "which planet of the solar system has the largest number of known moons a
 CLASHING = (
     "key", "ref", "node", "band", "bands", "low", "gid", "side", "code", "grp", "mates", "size", "component", "root", "class_id",
     "class_size", "shard", "slot", "law", "text_crc32", "grown_shard", "bin", "piece", "cluster", "h", "w", "pos", "start", "begin",
-    "end", "probability", "item_id", "quality", "toxic", "q", "t", "n", "id", "_score", "_bin", "_size", "_n", "_row", "conv", "at",
+    "end", "probability", "item_id", "quality", "toxic", "q", "t", "n", "id", "_score", "_bin", "_size", "_n", "_row", "conv", "at", "_key", "_text", "_source", "_cluster", "_tie", "_node", "vote_symbols", "score", "told",
 )
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,46 +69,114 @@ def tables(request, spark):
     }
 
 
+def by_key(rows, *names):
+    out = {}
+    for r in rows:
+        out.setdefault(r["doc_id"], []).append(tuple(r[n] for n in names))
+    return out
+
+
 def test_one_row_per_row(tables):
     docs, n = tables["docs"], tables["n"]
-    scored = compression_quality.score(docs.drop("_score"), compression_quality.fit(docs, tables["labels"]))
-    for out in (
-        scored,
-        rendezvous.place(docs, {s: 1.0 for s in range(4)}),
-        minhash_dedup.classes(docs),
-        weak_rules.judge(docs),
-        substring_dedup.dedup(docs),
-    ):
-        got = out.collect()
-        assert len(got) == n
-    assert all(0 <= r["_score"] <= 1 for r in scored.collect())
+    model = compression_quality.fit(docs, tables["labels"])
+    with pytest.raises(ValueError):
+        compression_quality.score(docs, model)
+    scored = compression_quality.score(docs, model, name="own score").collect()
+    placed = rendezvous.place(docs, {s: 1.0 for s in range(4)}).collect()
+    classes = minhash_dedup.classes(docs).collect()
+    judged = weak_rules.judge(docs).collect()
+    cut = substring_dedup.dedup(docs).collect()
+    assert all(len(x) == n for x in (scored, placed, classes, judged, cut))
+    if not n:
+        return
+    text = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] not in (None, 5, 7)}
+    score = by_key(scored, "own score")
+    assert all(0 <= r["own score"] <= 1 for r in scored)
+    assert score[0] == score[1] == [(model.prior,)] and score[6][0] in score[5]
+    size = by_key(placed, "size", "text_crc32")
+    assert all(size[i] == [(len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))] for i, t in text.items())
+    group = by_key(classes, "class_id", "class_size")
+    # Five rows hold the sentence thrice, one without a key, and one has two words more; texts without a word stand alone.
+    assert group[6] == [(5, 6)] and group[5].count((5, 6)) == 3 and all(group[i] == [(i, 1)] for i in (0, 1, 2, 3))
+    words = by_key(judged, "n_words", "base_failed")
+    wrong = {i: words[i] for i, t in text.items() if [w[0] for w in words[i]] != [len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))]}
+    assert not wrong
+    assert words[0] == words[1] == words[2] == [(0, True)] and words[9] == [(40_000, True)]
+    left = by_key(cut, "n_words", "n_removed", "kept_sha256")
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert left[0] == left[1] == left[2] == [(0, 0, nothing)] and left[9] == [(40_000, 40_000, nothing)]
+    assert left[6] == [(51, 51, nothing)] and left[8][0][:2] == (60_000, 0)
 
 
 def test_packing_and_tokens_and_scans(tables):
-    docs = tables["docs"]
-    packed = packing.pack(docs).collect()
-    assert len({(r["doc_id"]) for r in packed}) == len({r["doc_id"] for r in docs.select("doc_id").collect()})
+    docs, n = tables["docs"], tables["n"]
+    packed = packing.pack(packing.items(docs)).collect()
     assert all(r["size"] <= packing.CAPACITY for r in packed)
-    token_attribution.attribute(docs).collect()
-    secret_scan.scan(docs).collect()
-    decontamination.matches(docs, tables["benchmark"]).collect()
+    assert sum(r["piece"] == 0 for r in packed) == n
+    tokens = token_attribution.attribute(docs).collect()
+    found = secret_scan.scan(docs).collect()
+    hits = decontamination.matches(docs, tables["benchmark"]).collect()
+    if not n:
+        assert not tokens and not found and not hits
+        return
+    total = Counter()
+    for r in tokens:
+        total[r["doc_id"]] += r["n_tokens"]
+    size = Counter()
+    for r in packed:
+        size[r["doc_id"]] += r["size"]
+    assert {k: round(v) for k, v in total.items()} == {k: v for k, v in size.items() if v}
+    assert (10, 11, 25) in {(r["doc_id"], r["begin"], r["end"]) for r in found} and not {0, 1, 2, 3} & {r["doc_id"] for r in found}
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in hits) == [(11, 1, 0), (11, 1, 0)]
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "string", "date", "double"])
+def test_keys_of_any_type(spark, kind):
+    base = spark.createDataFrame([(1, SENTENCE * 3, "a"), (2, SENTENCE * 3, "b"), (None, ITEM, None)], "n long, text string, source string")
+    key = {"date": "date_add(date'2020-01-01', cast(n as int))"}.get(kind, f"cast(n as {kind})")
+    docs = base.selectExpr(f"{key} as item_id", "text", "source")
+    bench = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    first, second, none = [r[0] for r in docs.select("item_id").collect()]
+    key = lambda df: sorted((str(r[0]) for r in df.toDF(*[f"c{i}" for i in range(len(df.columns))]).collect()))
+    three = sorted(map(str, (first, second, none)))
+    assert key(decontamination.matches(docs, bench, key="item_id")) == [str(none)]
+    assert set(key(token_attribution.attribute(docs, key="item_id"))) == set(three)
+    assert key(secret_scan.scan(docs, key="item_id")) == []
+    assert key(packing.pack(packing.items(docs, "item_id"), "item_id")) == three
+    assert key(rendezvous.place(docs, {0: 1.0, 1: 1.0}, "item_id")) == three
+    assert key(weak_rules.judge(docs, "item_id")) == three
+    assert key(substring_dedup.dedup(docs, "item_id")) == three
+    assert {str(r["class_id"]) for r in minhash_dedup.classes(docs, "item_id").collect()} == {str(first), str(none)}
 
 
 def test_filters_keep_columns(tables):
     docs, n = tables["docs"], tables["n"]
-    for out in (
-        compression_quality.keep_good(docs.drop("_score"), tables["labels"]),
-        minhash_dedup.keep_one(docs),
-        decontamination.clean(docs, tables["benchmark"]),
-        secret_scan.redact(docs),
+    kept = {}
+    for name, out in (
+        ("good", compression_quality.keep_good(docs, tables["labels"])),
+        ("one", minhash_dedup.keep_one(docs)),
+        ("clean", decontamination.clean(docs, tables["benchmark"])),
+        ("redacted", secret_scan.redact(docs)),
     ):
-        assert [c for c in out.columns if c != "_score"] == [c for c in docs.columns if c != "_score"]
-        assert len(out.collect()) <= n
+        assert out.columns == docs.columns
+        kept[name] = out.collect()
+    if not n:
+        assert not any(kept.values())
+        return
+    assert len(kept["clean"]) == n - 1 and ITEM not in {r["text"] for r in kept["clean"]}
+    assert len(kept["redacted"]) == n and not any("hunter2" in (r["text"] or "") for r in kept["redacted"])
+    assert all(r["_score"] == "extra _score" for rows in kept.values() for r in rows)
+    model = compression_quality.fit(docs, tables["labels"])
+    assert len(kept["good"]) == sum(r["s"] >= 0.5 for r in compression_quality.score(docs, model, name="s").collect())
 
 
 def test_quotations(tables):
     out = quotations.link(tables["talks"]).collect()
     assert len(out) == tables["talks"].count()
+    by = {(r["conv_id"], r["turn"]): r for r in out}
+    if out:
+        assert by[(1, 1)]["parent_turn"] == 0 and by[(1, 1)]["clean_text"] == "hi" and by[(1, None)]["clean_text"] == ""
+        assert by[(None, 2)]["n_quotes"] == 2 and by[(None, 2)]["n_linked"] == 0 and by[(None, 2)]["clean_text"] == "ok"
 
 
 def test_stages(spark, tables, tmp_path):

@@ -145,11 +145,11 @@ def _rated(model, texts: list[str | None]) -> list[float]:
     return [model.probability(sizes.measure(t)) if t and sizes else model.prior for t in texts]
 
 
-def _score(model, text: str):
+def _score(model, text: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array(_rated(model.value, batch.column(text).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
     return run
 
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "_score
         raise ValueError(f"docs has a column {name!r}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(_score(shared, text), schema)
+    return docs.mapInArrow(_score(shared, text, name), schema)
 
 
 def _keep(model, text: str):
