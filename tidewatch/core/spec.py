@@ -19,7 +19,8 @@ _UNITS = {
     "t": 60_000_000, "min": 60_000_000, "minute": 60_000_000, "h": 3_600_000_000, "hour": 3_600_000_000,
     "d": 86_400_000_000, "day": 86_400_000_000, "w": 604_800_000_000, "week": 604_800_000_000,
 }
-_MONTHS = {"m": 1, "ms": 1, "month": 1, "q": 3, "quarter": 3, "y": 12, "a": 12, "year": 12}
+#: Calendar steps; one letter and in capitals, as "ms" are milliseconds.
+_MONTHS = {"M": 1, "MS": 1, "Q": 3, "QS": 3, "Y": 12, "YS": 12, "A": 12, "month": 1, "quarter": 3, "year": 12}
 
 
 @dataclass(frozen=True)
@@ -33,15 +34,17 @@ class Freq:
     def parse(text: str | Freq) -> Freq:
         if isinstance(text, Freq):
             return text
-        m = re.fullmatch(r"\s*(\d*)\s*([A-Za-z]+?)s?\s*", text) or re.fullmatch(r"\s*(\d*)\s*([A-Za-z]+)\s*", text)
+        m = re.fullmatch(r"\s*(\d*)\s*([A-Za-z]+)\s*", text)
         if not m:
             raise ValueError(f"cannot read the step {text!r}")
         n, unit = int(m[1] or 1), m[2]
-        if unit in ("M", "MS", "Q", "QS", "Y", "A", "YS") or unit.lower() in ("month", "quarter", "year"):
-            return Freq(months=n * _MONTHS[unit.lower().rstrip("s") or "m"])
-        if unit.lower() not in _UNITS:
-            raise ValueError(f"cannot read the step {text!r}")
-        return Freq(us=n * _UNITS[unit.lower()])
+        # The whole word first: the s of "ms" is no plural.
+        for word in (unit, unit.lower(), unit.lower().removesuffix("s")):
+            if word in _MONTHS:
+                return Freq(months=n * _MONTHS[word])
+            if word in _UNITS:
+                return Freq(us=n * _UNITS[word])
+        raise ValueError(f"cannot read the step {text!r}")
 
     def after(self, ts: Column) -> Column:
         """The grid point that follows ts."""

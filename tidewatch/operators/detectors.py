@@ -155,7 +155,8 @@ class GeneralizedESDTestAD(_Detector):
 
     The next suspect is always the least or the greatest value that is left,
     so the fit needs count, sum and sum of squares by one aggregate, and the
-    extremes in growing batches.
+    extremes in batches that double: no more than twice the deviates, or one
+    batch, reach the driver.
     """
 
     trainable = True
@@ -175,11 +176,11 @@ class GeneralizedESDTestAD(_Detector):
             row = own.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var")).first()
             if not row["n"]:
                 raise RuntimeError("no valid value to learn from")
-            low, high, size = [], [], self.batch
+            low, high = [], []
 
             def more(side: list, descending: bool):
                 order = F.desc("v") if descending else F.asc("v")
-                side[:] = [r["v"] for r in own.orderBy(order).limit(len(side) + size).collect()]
+                side[:] = [r["v"] for r in own.orderBy(order).limit(max(self.batch, 2 * len(side))).collect()]
 
             got = esd(row["n"], row["mean"], row["var"] * row["n"], low, high, more, self.alpha)
             table = df.sparkSession.createDataFrame([got], "n long, mean double, m2 double, limit double")

@@ -118,19 +118,26 @@ def folds(n: int, mode: int = 1, n_splits: int = 1, train_ratio: float = 0.7) ->
 
 def split_train_test(df: DataFrame, spec: SeriesSpec, mode: int = 1, n_splits: int = 1, train_ratio: float = 0.7) -> list[tuple[DataFrame, DataFrame]]:
     """(train, test) of each split, by row number in each series."""
+    folds(1, mode, n_splits, train_ratio)
     own = df.withColumn(US, micros(F.col(spec.ts)))
     own = own.withColumns({"_i": F.row_number().over(spec.window()) - 1, "_n": F.count(F.lit(1)).over(W.partitionBy(*spec.keys))})
-    sizes = [r[0] for r in own.select("_n").distinct().collect()]
-    plans = {n: folds(n, mode, n_splits, train_ratio) for n in sizes}
+    n, i = F.col("_n"), F.col("_i")
+
+    def bounds(split: int) -> tuple[Column, Column, Column]:
+        """First row, first row of the test, and end; the columns of what ``folds`` does with numbers."""
+        last = split == n_splits - 1
+        if mode in (1, 2):
+            size = F.bround(n / n_splits)
+            a, b = size * split if mode == 1 else F.lit(0.0), n if last else size * (split + 1)
+            return a, a + F.bround((b - a) * train_ratio), b
+        size = F.bround(n / (n_splits + 1))
+        return F.lit(0.0), size * (split + 1), n if mode == 4 or last else size * (split + 2)
 
-    def part(split: int, side: int) -> DataFrame:
-        inside = F.lit(False)
-        for n, plan in plans.items():
-            a, b = plan[split][side]
-            inside = inside | ((F.col("_n") == n) & (F.col("_i") >= a) & (F.col("_i") < b))
-        return own.where(inside).drop("_i", "_n", US)
-
-    return [(part(i, 0), part(i, 1)) for i in range(n_splits)]
+    out = []
+    for a, cut, b in map(bounds, range(n_splits)):
+        pair = ((i >= a) & (i < cut), (i >= cut) & (i < b))
+        out.append(tuple(own.where(inside).drop("_i", "_n", US) for inside in pair))
+    return out
 
 
 __all__ = ["expand_labels", "folds", "one_hot", "split_train_test", "to_events", "to_labels", "validate_events"]

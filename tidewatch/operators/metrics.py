@@ -28,10 +28,16 @@ def _ratio(a: Column, b: Column) -> Column:
 def _labels(truth: DataFrame, found: DataFrame, spec: SeriesSpec, measure: Callable) -> DataFrame:
     if missing := [c for c in spec.values if c not in truth.columns or c not in found.columns]:
         raise ValueError(f"label columns {missing} are not in both")
-    on = [F.col(f"t.`{k}`").eqNullSafe(F.col(f"p.`{k}`")) for k in spec.index]
-    both = truth.alias("t").join(found.alias("p"), on)
-    out = [measure(as_label(F.col(f"t.`{c}`")), as_label(F.col(f"p.`{c}`"))).alias(c) for c in spec.values]
-    keys = [F.col(f"t.`{k}`").alias(k) for k in spec.keys]
+    own = [*spec.index, *spec.values]
+    t = truth.select(*[f"`{c}`" for c in own], F.lit(1).alias("_in")).alias("t")
+    p = found.select(*[f"`{c}`" for c in own], F.lit(1).alias("_in")).alias("p")
+    both = t.join(p, [F.col(f"t.`{k}`").eqNullSafe(F.col(f"p.`{k}`")) for k in spec.index], "full_outer")
+    apart = F.count_if(F.col("t._in").isNull() | F.col("p._in").isNull()) > 0
+    error = F.raise_error(F.lit("the labels do not have the same times")).cast("double")
+    out = [
+        F.when(apart, error).otherwise(measure(as_label(F.col(f"t.`{c}`")), as_label(F.col(f"p.`{c}`")))).alias(c) for c in spec.values
+    ]
+    keys = [F.coalesce(f"t.`{k}`", f"p.`{k}`").alias(k) for k in spec.keys]
     return both.groupBy(*keys).agg(*out) if keys else both.agg(*out)
 
 

@@ -114,7 +114,7 @@ class DoubleRollingAggregate(_Transformer):
         return x if isinstance(x, tuple) else (x, x)
 
     def _frames(self, spec: SeriesSpec):
-        """(frame, rows to lag the values first) of the left and the right window."""
+        """(frame, rows to lag the values first, or less microseconds) of the left and the right window."""
         left, right = self._pair(self.window)
         w = spec.window()
         if self.center:
@@ -125,15 +125,17 @@ class DoubleRollingAggregate(_Transformer):
         if isinstance(right, int):
             return (trailing(spec, left), right), (b, 0)
         if isinstance(left, int):
-            raise ValueError("with center=False a left window of rows needs a right window of rows")
+            return (trailing(spec, left), -duration_us(right)), (b, 0)
         over = duration_us(right)
         return (w.rangeBetween(-(duration_us(left) + over - 1), -over), 0), (b, 0)
 
     def sides(self, df: DataFrame, spec: SeriesSpec, col: str, tag: str) -> tuple[DataFrame, list[list[Column]]]:
         """Components of the left and the right aggregate; both frames share one sort."""
-        out, made = [], {}
+        out, made, late = [], {}, temp(tag, "late")
         if (lag := self._frames(spec)[0][1]) > 0:
             df = df.withColumn(temp(tag, "lag"), F.lag(F.col(f"`{col}`"), lag).over(spec.window()))
+        elif lag < 0:
+            df = self._delayed(df, spec, col, -lag, temp(tag, "lag"), late)
         kinds = zip(
             "lr", self._frames(spec), self._pair(self.window), self._pair(self.agg), self._pair(self.agg_params), self._pair(self.min_periods)
         )
@@ -150,8 +152,19 @@ class DoubleRollingAggregate(_Transformer):
             names = [temp(tag, side, i) for i in range(len(parts))]
             made |= dict(zip(names, parts))
             out.append([F.col(n) for n in names])
+            if side == "l" and lag < 0:
+                df, made = df.withColumns(made).where(~F.col(late)).drop(late), {}
         return df.withColumns(made), out
 
+    @staticmethod
+    def _delayed(df: DataFrame, spec: SeriesSpec, col: str, us: int, name: str, late: str) -> DataFrame:
+        """df and rows of its values moved ahead in time; a value that meets a row of df joins it."""
+        moved = df.select(*spec.keys, (F.col(US) + us).alias(US), F.col(f"`{col}`").alias(name), F.lit(True).alias(late))
+        own = df.withColumns({name: F.lit(None).cast("double"), late: F.lit(False)})
+        both, same = own.unionByName(moved, allowMissingColumns=True), W.partitionBy(*spec.keys, US)
+        both = both.withColumns({name: F.max(name).over(same), f"{late}_met": F.bool_or(~F.col(late)).over(same)})
+        return both.where(~F.col(late) | ~F.col(f"{late}_met")).drop(f"{late}_met")
+
     def difference(self, left: list[Column], right: list[Column]) -> Column:
         if callable(self.diff):
             return _pair_udf(self.diff, len(left) > 1)(F.array(*left), F.array(*right))
@@ -176,12 +189,15 @@ class DoubleRollingAggregate(_Transformer):
 
 
 def _pair_udf(func: Callable, vector: bool):
+    def numbers(v) -> list[float]:
+        return [np.nan if x is None else x for x in v]
+
     @F.pandas_udf("double")
     def apply(left: pd.Series, right: pd.Series) -> pd.Series:
-        made = []
-        for a, b in zip(left, right):
-            a, b = (pd.Series([np.nan if x is None else x for x in v], dtype="float64") for v in (a, b))
-            made.append(float(func(a, b) if vector else func(a.iloc[0], b.iloc[0])))
+        if vector:
+            made = [func(*(pd.Series(numbers(v), dtype="float64") for v in pair)) for pair in zip(left, right)]
+        else:
+            made = [func(a, b) for a, b in zip(numbers(v[0] for v in left), numbers(v[0] for v in right))]
         return pd.Series(made, dtype="float64")
 
     return lambda a, b: clean_double(apply(a, b))
@@ -300,9 +316,18 @@ class ClassicSeasonalDecomposition(_Transformer):
             if self.trend:
                 df = trend_of(df, spec, c, p["period"], own.get("period"), temp(tag, "trend", n))
                 v = v - F.col(temp(tag, "trend", n))
-            # A time off the training grid has no phase.
+            # A time off the training grid has no phase, and another step is another series.
             bad = F.raise_error(F.lit("times do not lie on the training grid")).cast("double")
-            df = df.withColumn(name, F.when(p["datum"].isNull(), None).when(exact, v - season).otherwise(bad))
+            other = F.raise_error(F.lit("the step is not that of the training series")).cast("double")
+            before, step = F.lag(spec.ts).over(spec.window()), temp(tag, "step", n)
+            if self.step_ and self.step_.months:
+                same = F.round(F.months_between(F.col(spec.ts), before)) == self.step_.months
+            else:
+                same = F.col(US) - F.lag(US).over(spec.window()) == p["step"]
+            df = df.withColumn(step, F.coalesce(same, F.lit(True)))
+            df = df.withColumn(
+                name, F.when(p["datum"].isNull(), None).when(~F.col(step), other).when(exact, v - season).otherwise(bad)
+            ).drop(step)
             out.append((c, name))
         return df, out
 

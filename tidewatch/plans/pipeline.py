@@ -147,6 +147,8 @@ class Pipenet:
         if detects != (kind == "detect"):
             raise RuntimeError(f"the final step {'detects' if detects else 'transforms'}: use {'detect' if detects else 'transform'}")
         wide, made = self._compile(df, spec, set(), set(self.steps))
+        if intermediate and events:
+            return self._event_lists(wide, spec, made)
         if intermediate:
             shown = [c for n in self.order_ for c in made[n]]
             return wide.select(*spec.index, *[f"`{c}`" for c in spec.values], *[f"`{c}`" for c in shown])
@@ -159,6 +161,21 @@ class Pipenet:
 
         return to_events(result, spec.with_values(*names))
 
+    def _event_lists(self, wide: DataFrame, spec: SeriesSpec, made: dict[str, list[str]]) -> DataFrame:
+        """(keys, step, type, start, end) of every step that labels."""
+        from ..operators.labels import to_events
+
+        out = None
+        for n in self.order_:
+            if isinstance(self.steps[n]["model"], _Transformer):
+                continue
+            names = [c.split("__", 1)[1] for c in made[n]]
+            own = wide.select(*spec.index, *[F.col(f"`{c}`").alias(x) for c, x in zip(made[n], names)])
+            own = to_events(own, spec.with_values(*names))
+            own = own.select(*spec.keys, F.lit(n).alias("step"), "type", "start", "end")
+            out = own if out is None else out.union(own)
+        return out
+
     def detect(self, df: DataFrame, spec: SeriesSpec, events: bool = False, return_intermediate: bool = False) -> DataFrame:
         return self._predict(df, spec, "detect", events, return_intermediate)
 
