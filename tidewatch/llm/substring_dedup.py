@@ -51,6 +51,7 @@ WIDTH = 35
 ANCHOR = 12
 SHARD_CHARS = 8_000_000
 FAN = 16
+LETTERS = 3
 _CHUNK = 1 << 16
 
 
@@ -205,8 +206,15 @@ def _rows(shard: int, ref=None, n=None, texts=None, **arrays) -> pa.RecordBatch:
 
 
 def _code(hashes: np.ndarray) -> str:
-    """One code point a word, above the surrogates."""
-    return (hashes % np.uint64(0xF0000) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+    """``LETTERS`` code points a word, each of an alphabet of its own.
+
+    Nodes of the automaton are searched from end to end, so alphabets are
+    small; as they differ, a match begins where a word begins.
+    """
+    out = np.empty((len(hashes), LETTERS), "<u4")
+    for i in range(LETTERS):
+        out[:, i] = (hashes >> np.uint64(7 * i)) % np.uint64(128) + np.uint64(0x10000 + 128 * i)
+    return out.tobytes().decode("utf-32-le")
 
 
 class Located:
@@ -228,6 +236,7 @@ class Located:
         join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
         self.first, self.counts = join(firsts), join(counts)
         self.hashes = np.concatenate([w.hashes for _, w in self.parts]) if self.parts else np.zeros(0, np.uint64)
+        self.code = _code(self.hashes)
         self.bases = np.asarray([b for b, _ in self.parts])
         # The gram that the window at a start picks; -1 where no window starts.
         self.gram = np.full(base + 1, -1, np.int64)
@@ -235,22 +244,25 @@ class Located:
         self.known = np.zeros(base + 1, bool)
 
     def text(self, a: int, b: int) -> bytes:
-        """Words a to b of one document, joined by single spaces."""
+        """The text from word a to word b of one document."""
         i = int(np.searchsorted(self.bases, a, "right")) - 1
         base, words = self.parts[i]
-        return b" ".join(words.buf[words.starts[a - base] : words.ends[b - 1 - base]].split())
+        return words.buf[words.starts[a - base] : words.ends[b - 1 - base]]
 
     def compile(self, starts: np.ndarray) -> None:
         """Patterns are the grams that the confirmed windows pick, with all places where they do."""
         self.known[starts] = True
         self.automaton = ahocorasick.Automaton()
         self.windows: dict[int, dict[int, int]] = {}
-        for g in np.unique(self.gram[np.flatnonzero(self.known)]):
-            code = _code(self.hashes[g : g + self.anchor])
-            if code in self.automaton:
-                self.automaton.get(code).append(int(g))
-            else:
-                self.automaton.add_word(code, [int(g)])
+        places: dict[str, list[tuple[int, int, int]]] = {}
+        grams = np.unique(self.gram[starts])
+        doc = np.searchsorted(self.first, grams, "right") - 1
+        bounds = zip(grams.tolist(), self.first[doc].tolist(), (self.first[doc] + self.counts[doc]).tolist())
+        for place in bounds:
+            g = place[0]
+            places.setdefault(self.code[LETTERS * g : LETTERS * (g + self.anchor)], []).append(place)
+        for code, own in places.items():
+            self.automaton.add_word(code, own)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -269,29 +281,34 @@ class Located:
         return done
 
     def _mark(self, begin: int, end: int, source: int, found: np.ndarray, low: int) -> None:
-        """Marks the confirmed starts of a stretch that agrees with the words at source."""
-        if begin == source or self.text(begin, end) == self.text(source, source + end - begin):
-            size = end - begin - self.width + 1
-            found[begin - low : begin - low + size] |= self.known[source : source + size]
-
-    def _few(self, p: int, g: int, low: int, high: int, reached: dict[int, int], found: np.ndarray) -> None:
-        """Lines the document up with the passage around g; a stretch is compared once."""
+        """Marks the confirmed starts of a stretch whose words are those at source."""
+        size = end - begin - self.width + 1
+        if begin != source:
+            one, other = self.text(begin, end), self.text(source, source + end - begin)
+            if one != other and one.split() != other.split():
+                return
+        found[begin - low : begin - low + size] |= self.known[source : source + size]
+
+    def _few(self, p: int, place: tuple[int, int, int], low: int, high: int, reached: dict[int, int], found: np.ndarray) -> None:
+        """Lines the document up with the passage around a gram's place; a stretch is compared once."""
+        g, a, b = place
         if reached.get(p - g, -1) > p:
             return
-        doc = int(np.searchsorted(self.first, g, "right")) - 1
-        a, b = int(self.first[doc]), int(self.first[doc] + self.counts[doc])
-        left = self._agree(p, g, -1, min(p - low, g - a))
-        right = self._agree(p, g, 1, min(high - p, b - g))
+        if p == g:
+            left, right = p - low, high - p
+        else:
+            left = self._agree(p, g, -1, min(p - low, g - a))
+            right = self._agree(p, g, 1, min(high - p, b - g))
         reached[p - g] = p + right
         if left + right >= self.width:
             self._mark(p - left, p + right, g - left, found, low)
 
-    def _many(self, p: int, sources: list[int], low: int, high: int, found: np.ndarray) -> None:
+    def _many(self, p: int, sources: list[tuple[int, int, int]], low: int, high: int, found: np.ndarray) -> None:
         """Picks the passage by the window's words; one look-up for each window of this gram."""
-        key = sources[0]
+        key = sources[0][0]
         if key not in self.windows:
             self.windows[key] = {}
-            for g in sources:
+            for g, _, _ in sources:
                 for s in range(max(0, g - self.width + self.anchor), g + 1):
                     if self.known[s] and self.gram[s] == g:
                         self.windows[key].setdefault(hash(self.hashes[s : s + self.width].tobytes()), s)
@@ -307,13 +324,13 @@ class Located:
         found = np.zeros(n + 1, bool)
         if len(self.automaton) and n >= self.width:
             reached: dict[int, int] = {}
-            for end, sources in self.automaton.iter(_code(self.hashes[low : low + n])):
-                p = low + end - self.anchor + 1
+            for end, sources in self.automaton.iter(self.code[LETTERS * low : LETTERS * (low + n)]):
+                p = low + (end + 1) // LETTERS - self.anchor
                 if len(sources) > self.fan:
                     self._many(p, sources, low, low + n, found)
                 else:
-                    for g in sources:
-                        self._few(p, g, low, low + n, reached, found)
+                    for place in sources:
+                        self._few(p, place, low, low + n, reached, found)
         change = found.astype(np.int64)
         change[self.width :] -= found[: max(0, len(found) - self.width)]
         return np.cumsum(change)[:n] > 0
@@ -326,18 +343,19 @@ def _remove(width: int, anchor: int, fan: int):
                 continue
             own = Located(shard.texts, width, anchor, fan)
             # A place is told as the document's ref and the window's start in it.
-            place = {r: i for i, r in enumerate(shard.ref)}
-            doc = np.fromiter((place[r] for r in shard.numbers(0).tolist()), np.int64)
+            ref = np.asarray(shard.ref)
+            order = np.argsort(ref)
+            doc = order[np.searchsorted(ref, shard.numbers(0), sorter=order)]
             own.compile(own.first[doc] + shard.numbers(1))
-            ref, removed, kept = [], [], []
+            gone_from, removed, kept = [], [], []
             for i, text in enumerate(shard.texts):
                 gone = own.locate(i)
                 if gone.any():
                     words = text.encode("utf-8", "surrogatepass").split()
-                    ref.append(shard.ref[i])
+                    gone_from.append(shard.ref[i])
                     removed.append(int(gone.sum()))
                     kept.append(b" ".join([words[k] for k in np.flatnonzero(~gone)]).decode("utf-8", "surrogatepass"))
-            yield pa.record_batch({"ref": pa.array(ref, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+            yield pa.record_batch({"ref": pa.array(gone_from, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     return run
 
