@@ -48,11 +48,17 @@ def _tokens(ranks, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
         for batch in batches:
-            made = [enc.tool.encode_ordinary(t) if t else [] for t in batch.column("_text").to_pylist()]
+            size, made = [], [np.zeros(0, np.int32)]
+            for text in batch.column("_text"):
+                own = enc.tool.encode_ordinary(text.as_py() or "")
+                size.append(len(own))
+                if ids:
+                    made.append(np.asarray(own, np.int32))
             columns = {name: batch.column(name) for name in batch.schema.names if name != "_text"}
-            columns["_size"] = pa.array(map(len, made), pa.int64())
+            columns["_size"] = pa.array(size, pa.int64())
             if ids:
-                columns["_ids"] = pa.array(made, pa.list_(pa.int32()))
+                ends = np.append(0, np.cumsum(size)).astype(np.int32)
+                columns["_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
             yield pa.record_batch(columns)
 
     return run
