@@ -71,9 +71,9 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def hot_keys(counted: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
-    """Keys that hold a thousandth of all rows or more: a thousand at most, whatever the input."""
-    return counted.where(F.col(count) >= max(2, total // 1000 + 1)).select(key)
+def hot_keys(counted: DataFrame, key: str, total: int, count: str = "n", most: int = 1000) -> DataFrame:
+    """Keys that hold more than one row in ``most`` of all: so many at most, whatever the input."""
+    return counted.where(F.col(count) >= max(2, total // most + 1)).select(key)
 
 
 def join_hot(rows: DataFrame, told: DataFrame, key: str, hot: DataFrame, how: str = "left") -> DataFrame:

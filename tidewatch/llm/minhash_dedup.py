@@ -50,6 +50,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 BLOCK = 256
 STAR = 512
+#: So many bands at most meet a broadcast; the places of any other are no more than their share of all.
+HOT_BANDS = 20_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(0xD1B54A32D192ED03)
 
@@ -263,14 +265,14 @@ def _verified(rows: DataFrame, func, label: str) -> DataFrame:
     return materialise(spread.mapInArrow(func, "a long, b long"), label)
 
 
-def _blocked(bands: DataFrame, part: DataFrame, block: int) -> DataFrame:
+def _blocked(bands: DataFrame, part: DataFrame, block: int, total: int) -> DataFrame:
     """(gid, side, node, part): what to compare inside bands of (band, node) that have several parts."""
     own = bands.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
     open_ = own.groupBy("band").agg(
         F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("part").alias("p"), F.max("part").alias("q")
     )
-    open_ = open_.where("p <> q").groupBy("n", "low", "x").agg(F.min("band").alias("band")).select("band", "n")
-    own = own.join(open_, "band")
+    open_ = materialise(open_.where("p <> q").groupBy("n", "low", "x").agg(F.min("band").alias("band")).select("band", "n"), "open-bands")
+    own = materialise(join_hot(own, open_, "band", hot_keys(open_, "band", total, most=HOT_BANDS), "inner"), "open-places")
     pick = lambda df, gid, side: df.select(gid.alias("gid"), F.lit(side).alias("side"), "node", "part")
     small = pick(own.where(F.col("n") <= block), F.col("band"), 2)
     big = own.where(F.col("n") > block)
@@ -295,8 +297,8 @@ def links(
     placed = sign.select(F.explode("bands").alias("band"), "node")
     shared = placed.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1")
     shared = materialise(shared, "bands")
-    # Of all places in bands a thousandth is in one band for at most a thousand bands.
-    hot = hot_keys(shared, "band", bands * sign.count())
+    total = bands * sign.count()
+    hot = hot_keys(shared, "band", total, most=HOT_BANDS)
     placed = materialise(join_hot(placed, shared.select("band", "low"), "band", hot, "inner"), "placed")
     near = materialise(placed.where("low <> node").select("low", "node").distinct(), "stars")
     if near.isEmpty():
@@ -319,7 +321,7 @@ def links(
     found = _verified(stars.join(text, "node"), _star(similarity), "star-links")
 
     part = connected_components(found, "parts").select(F.col("id").alias("node"), F.col("component").alias("part"))
-    rest = _verified(_blocked(placed.select("band", "node"), part, block).join(text, "node"), _compare(similarity), "band-links")
+    rest = _verified(_blocked(placed.select("band", "node"), part, block, total).join(text, "node"), _compare(similarity), "band-links")
     discard(sign, shared, placed, near, text)
     return found.unionByName(rest)
 
