@@ -42,12 +42,14 @@ from .token_attribution import VOCABULARY, Shared, encoder
 
 CAPACITY = 2048
 GROUP = 8192
+#: Rows that pass between Python and Java at once where they carry tokens.
+_ROWS = 512
 
 
 def _tokens(ranks, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
-        for batch in batches:
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             size, made = [], [np.zeros(0, np.int32)]
             for text in batch.column("_text"):
                 own = enc.tool.encode_ordinary(text.as_py() or "")
@@ -132,7 +134,7 @@ def _pack(capacity: int, group: int):
         part, done = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
 
-        def pack() -> pa.RecordBatch:
+        def pack() -> list[pa.RecordBatch]:
             nonlocal done
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
@@ -143,7 +145,7 @@ def _pack(capacity: int, group: int):
             done += max(bins) + 1
             table = table.append_column("_bin", pa.array([first + b for b in bins], pa.int64()))
             table = table.append_column("_offset", pa.array(offsets, pa.int64()))
-            return table.combine_chunks().to_batches()[0]
+            return table.combine_chunks().to_batches(_ROWS)
 
         for batch in batches:
             while batch.num_rows:
@@ -151,9 +153,9 @@ def _pack(capacity: int, group: int):
                 held.append(batch.slice(0, room))
                 batch = batch.slice(room)
                 if sum(b.num_rows for b in held) == group:
-                    yield pack()
+                    yield from pack()
         if held:
-            yield pack()
+            yield from pack()
 
     return run
 
