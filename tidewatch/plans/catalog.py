@@ -221,6 +221,16 @@ add(
 WINDOW l AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '6:00:00' PRECEDING AND INTERVAL '0:00:00.000001' PRECEDING),
 r AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL '2:59:59.999999' FOLLOWING)""",
 )
+add(
+    "double_mixed",
+    _double(window=(4, "3d"), agg="mean", center=False, diff="diff", min_periods=(3, 2)),
+    f"""WITH {_S}, g AS (SELECT ts, value, TRUE AS own FROM s),
+b AS (SELECT coalesce(g.ts, h.ts) AS ts, g.own, h.value AS late FROM g FULL JOIN (SELECT ts + INTERVAL 3 DAY AS ts, value FROM s) h ON g.ts = h.ts),
+l AS (SELECT ts, own, CASE WHEN count(late) OVER w >= 3 THEN avg(late) OVER w END AS x FROM b WINDOW w AS (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+r AS (SELECT ts, CASE WHEN count(value) OVER w >= 2 THEN avg(value) OVER w END AS y FROM s
+  WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL '71:59:59.999999' PRECEDING AND CURRENT ROW))
+SELECT ts, {_r('y - x')} AS value FROM r JOIN l USING (ts) WHERE own""",
+)
 _VEC = f"""p AS (SELECT ts, count(value) OVER l >= 5 AND count(value) OVER r >= 5 AS ok,
   quantile_cont(value, 0.25) OVER r - quantile_cont(value, 0.25) OVER l AS x,
   quantile_cont(value, 0.75) OVER r - quantile_cont(value, 0.75) OVER l AS y FROM s {_LR})"""
@@ -358,7 +368,24 @@ add(
     f"""WITH {_E}, q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM e GROUP BY 1)
 {_outside('e JOIN q USING (event_type)', 'value', '(a - 1.0 * (b - a))', '(b + 1.0 * (b - a))', 'value', 'event_type, ts')}""",
 )
-add("gesd_ad", _detect(D.GeneralizedESDTestAD(0.05)))
+#: Critical values for the sizes that the daily series can have while deviates are taken from it.
+_LIMITS = ", ".join(f"({n}, {D.esd_limit(n, 0.05)!r})" for n in range(2200, 2500))
+add(
+    "gesd_ad",
+    _detect(D.GeneralizedESDTestAD(0.05)),
+    f"""WITH RECURSIVE {_S}, lim(n, l) AS (VALUES {_LIMITS}),
+o AS (SELECT list(value ORDER BY value) AS x, count(value) AS n, sum(value) AS s, sum(value * value) AS q FROM s),
+g AS (
+  SELECT 0 AS a, 0 AS b, n, s, q FROM o
+  UNION ALL
+  SELECT CASE WHEN up THEN a ELSE a + 1 END, CASE WHEN up THEN b + 1 ELSE b END, n - 1, s - v, q - v * v FROM (
+    SELECT *, CASE WHEN up THEN hi ELSE lo END AS v FROM (
+      SELECT g.*, x[a + 1] AS lo, x[len(x) - b] AS hi, abs(x[len(x) - b] - g.s / g.n) > abs(x[a + 1] - g.s / g.n) AS up FROM g, o)
+    ) JOIN lim USING (n) WHERE abs(v - s / n) / sqrt((q - s * s / n) / (n - 1)) > l),
+f AS (SELECT n + 1 AS n, s, q FROM g ORDER BY a + b DESC LIMIT 1),
+z AS (SELECT s.ts, s.value, f.n, (f.s + s.value) / f.n AS m, f.q + s.value * s.value AS q, l FROM s, f JOIN lim USING (n))
+SELECT ts, CASE WHEN value IS NOT NULL THEN abs(value - m) / sqrt((q - m * m * n) / (n - 1)) > l END AS value FROM z""",
+)
 
 
 def _magnitude(pair: str, c: float, side: str, size: str = "abs(b - a)", name: str = "value") -> str:
@@ -563,6 +590,36 @@ add(
 )
 
 
+def _typed(spark, sf):
+    """The first two lists as one table with a type."""
+    a, b = _lists(spark, sf)
+    return a.withColumn("type", F.lit("a")).unionByName(b.withColumn("type", F.lit("b")))
+
+
+def _typed_merged(step: str = "INTERVAL 0 DAY") -> str:
+    return f"""y0 AS (SELECT "start" - {step} AS "start", "end" + {step} AS "end" FROM x0), y1 AS (SELECT "start" - {step} AS "start", "end" + {step} AS "end" FROM x1),
+{_merged('y0', 'c')}, {_merged('y1', 'e')}"""
+
+
+add(
+    "expand_events_typed",
+    lambda spark, sf: I.expand_events(_typed(spark, sf), duration_us("1d"), duration_us("1d"), ["type"]),
+    f"""WITH {_S}, {_EVS}, {_typed_merged('INTERVAL 1 DAY')} SELECT 'a' AS type, * FROM c UNION ALL SELECT 'b', * FROM e""",
+)
+add(
+    "to_labels_typed",
+    lambda spark, sf: L.to_labels(_typed(spark, sf), daily(spark, sf), DAILY, types=["a", "b"]),
+    f"""WITH {_S}, {_EVS}, li AS (SELECT ts, coalesce(lead(ts) OVER (ORDER BY ts), ts + INTERVAL 1 DAY) - INTERVAL '1 microsecond' AS nx FROM s)
+SELECT ts, EXISTS (SELECT 1 FROM x0 WHERE "start" <= li.nx AND "end" >= li.ts) AS a, EXISTS (SELECT 1 FROM x1 WHERE "start" <= li.nx AND "end" >= li.ts) AS b FROM li""",
+)
+add(
+    "recall_events_typed",
+    lambda spark, sf: rounded(M.recall(_typed(spark, sf), _list(2)(spark, sf).withColumn("type", F.lit("a")).unionByName(_list(1)(spark, sf).withColumn("type", F.lit("b"))), keys=["type"])),
+    f"""WITH {_S}, {_EVS}, w0 AS ({_EV[2]}), w1 AS ({_EV[1]}), {_merged('w0', 'c')}, {_merged('w1', 'e')}
+SELECT 'a' AS type, {_r(_share('m', 'c', 0.5))} AS value UNION ALL SELECT 'b', {_r(_share('n', 'e', 0.5))}""",
+)
+
+
 # Labels -----------------------------------------------------------------------------
 def _two(spark, sf):
     """Labels with nulls: a true by day number, b by value."""
@@ -644,6 +701,36 @@ add(
 )
 
 
+def _truths(spark, sf):
+    """Two label columns that are true, and two that are found."""
+    df = _two(spark, sf)
+    return df, df.select("ts", F.col("b").alias("a"), F.col("a").alias("b"))
+
+
+add(
+    "recall_frame",
+    lambda spark, sf: rounded(M.recall(*_truths(spark, sf), spec=LAB)),
+    f"WITH {_LAB} SELECT {_r(f'{_HIT} / count(*) FILTER (a)')} AS a, {_r(f'{_HIT} / count(*) FILTER (b)')} AS b FROM lab",
+)
+add(
+    "persist_ad_keyed",
+    _detect(D.PersistAD(3, 1.0), EVENTS, events),
+    f"""WITH {_E}, p AS (SELECT event_type, ts, CASE WHEN count(value) OVER l >= 3 THEN quantile_cont(value, 0.5) OVER l END AS a, value AS b FROM e
+  WINDOW l AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+q AS (SELECT event_type, quantile_cont(abs(b - a), 0.75) + 1.0 * (quantile_cont(abs(b - a), 0.75) - quantile_cont(abs(b - a), 0.25)) AS h FROM p GROUP BY 1)
+SELECT event_type, ts, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN abs(b - a) > h END AS value FROM p JOIN q USING (event_type)""",
+)
+add(
+    "validate_series",
+    lambda spark, sf: S.validate_series(
+        S.read_parquet(spark, f"{sf}/orders.parquet", ["o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice"]),
+        SeriesSpec((), "o_orderdate", ("o_orderstatus", "o_totalprice"), tiebreak=("o_orderkey",)), True, True,
+    )[0],
+    """SELECT o_orderdate, o_orderkey, o_totalprice, CAST(o_orderstatus = 'F' AS INTEGER) AS "o_orderstatus_F", CAST(o_orderstatus = 'O' AS INTEGER) AS "o_orderstatus_O",
+CAST(o_orderstatus = 'P' AS INTEGER) AS "o_orderstatus_P" FROM (SELECT *, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS i FROM orders) WHERE i = 1""",
+)
+
+
 def _split(mode: int):
     def run(spark, sf):
         out = None
@@ -707,6 +794,28 @@ g2 AS (SELECT *, i - row_number() OVER (ORDER BY i) AS r FROM li WHERE label) SE
 )
 
 
+def _subset(spark, sf):
+    net = Pipenet(
+        {
+            "scale": {"model": T.StandardScale(), "input": "original"},
+            "sum": {"model": T.SumAll(), "input": ["original", "scale"], "subset": [["qty"], ["price"]]},
+            "high": {"model": D.QuantileAD(high=0.9), "input": "sum"},
+        }
+    )
+    return net.fit_detect(daily(spark, sf), MULTI, events=True, return_intermediate=True)
+
+
+add(
+    "pipenet_subset",
+    _subset,
+    f"""WITH {_S}, v AS (SELECT ts, qty + (price - (SELECT avg(price) FROM s)) / (SELECT stddev_samp(price) FROM s) AS x FROM s),
+lab AS (SELECT ts, x > (SELECT quantile_cont(x, 0.9) FROM v) AS label FROM v),
+li AS (SELECT *, row_number() OVER (ORDER BY ts) AS i, coalesce(lead(ts) OVER (ORDER BY ts), ts + INTERVAL 1 DAY) - INTERVAL '1 microsecond' AS nx FROM lab),
+g2 AS (SELECT *, i - row_number() OVER (ORDER BY i) AS r FROM li WHERE label)
+SELECT 'high' AS step, 'value' AS type, min(ts) AS "start", max(nx) AS "end" FROM g2 GROUP BY r""",
+)
+
+
 def _score(spark, sf):
     df = daily(spark, sf)
     truth = df.select("ts", (F.col("t") % 97 == 0).alias("value"))

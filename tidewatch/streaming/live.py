@@ -31,7 +31,9 @@ def events_stream(labels: DataFrame, spec: SeriesSpec, gap: str, delay: str, lab
     """(keys, start, end) of runs of true labels that are no more than ``gap`` apart."""
     name = label or spec.values[0]
     own = labels.where(F.col(f"`{name}`")).withColumn("_at", F.col(spec.ts).cast("timestamp")).withWatermark("_at", delay)
-    runs = own.groupBy(*spec.keys, F.session_window("_at", gap)).agg(F.min("_at").alias("start"), F.max("_at").alias("end"))
+    # Spark wants a key beside a session window; a series without keys gets one that never changes.
+    keys = spec.keys or (F.col("_at").isNull().alias("_none"),)
+    runs = own.groupBy(*keys, F.session_window("_at", gap)).agg(F.min("_at").alias("start"), F.max("_at").alias("end"))
     return runs.select(*spec.keys, "start", "end")
 
 
