@@ -272,13 +272,14 @@ def _blocked(bands: DataFrame, part: DataFrame, block: int, total: int) -> DataF
         F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("part").alias("p"), F.max("part").alias("q")
     )
     open_ = materialise(open_.where("p <> q").groupBy("n", "low", "x").agg(F.min("band").alias("band")).select("band", "n"), "open-bands")
-    own = materialise(join_hot(own, open_, "band", hot_keys(open_, "band", total, most=HOT_BANDS), "inner"), "open-places")
+    hot = hot_keys(open_, "band", total, most=HOT_BANDS)
+    own = materialise(join_hot(own, open_, "band", hot, "inner"), "open-places")
     pick = lambda df, gid, side: df.select(gid.alias("gid"), F.lit(side).alias("side"), "node", "part")
     small = pick(own.where(F.col("n") <= block), F.col("band"), 2)
     big = own.where(F.col("n") > block)
     main = big.groupBy("band", "part").agg(F.count("*").alias("m"))
     main = main.groupBy("band").agg(F.max_by("part", F.struct("m", "part")).alias("main"), (F.sum("m") - F.max("m")).alias("rest"))
-    big = big.join(main, "band").withColumns({"all": F.ceil(F.col("n") / block), "others": F.ceil(F.col("rest") / block)})
+    big = join_hot(big, materialise(main, "main-parts"), "band", hot, "inner").withColumns({"all": F.ceil(F.col("n") / block), "others": F.ceil(F.col("rest") / block)})
     # Each block of the others meets each block of the band.
     stray = big.where("part <> main").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("others")))
     stray = stray.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)))
