@@ -82,3 +82,40 @@ def test_signature_is_unbiased():
     weight = np.array([*a.values(), *b.values()])
     least = minhash_dedup.bag_minhash(doc, item, weight, 2, m)
     assert abs((least[0] == least[1]).mean() - likeness(a, b)) < 0.03
+
+
+def near_pairs(texts: list[str], similarity: float) -> set[tuple[int, int]]:
+    """All pairs of different texts at the similarity, exactly, by the rarest shingles of each."""
+    bags = [sorted((s, k) for s, n in bag(t).items() for k in range(n)) for t in texts]
+    often = Counter(x for b in bags for x in b)
+    index, out = {}, set()
+    for i, own in enumerate(bags):
+        rare = sorted(own, key=lambda x: (often[x], x))[: int((1 - similarity) * len(own)) + 1]
+        mates = {j for x in rare for j in index.get(x, ())}
+        mine = set(own)
+        for j in mates:
+            both = len(mine.intersection(bags[j]))
+            if both >= similarity * (len(own) + len(bags[j]) - both) - 1e-9:
+                out.add((j, i))
+        for x in rare:
+            index.setdefault(x, []).append(i)
+    return out
+
+
+def test_recall_against_brute_force(spark):
+    """Of all pairs of different texts at 0.8 or more, nine in ten at least share a class; classes hold nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    group = {r["doc_id"]: r["class_id"] for r in minhash_dedup.classes(docs).collect()}
+    first = {}
+    for r in docs.orderBy("doc_id").collect():
+        if r["text"] and r["text"].split():
+            first.setdefault(r["text"], r["doc_id"])
+            assert group[r["doc_id"]] == group[first[r["text"]]]
+    texts = list(first)
+    pairs = near_pairs(texts, 0.8)
+    found = sum(group[first[texts[a]]] == group[first[texts[b]]] for a, b in pairs)
+    assert pairs and found >= 0.9 * len(pairs)
+    # Every class of different texts is held together by such pairs.
+    linked = {i for p in pairs for i in p}
+    size = Counter(group[k] for k in first.values())
+    assert all(size[group[first[t]]] == 1 or i in linked for i, t in enumerate(texts))
