@@ -374,7 +374,7 @@ add(
     "gesd_ad",
     _detect(D.GeneralizedESDTestAD(0.05)),
     f"""WITH RECURSIVE {_S}, lim(n, l) AS (VALUES {_LIMITS}),
-o AS (SELECT list(value ORDER BY value) AS x, count(value) AS n, sum(value) AS s, sum(value * value) AS q FROM s),
+o AS (SELECT list(value ORDER BY value) FILTER (value IS NOT NULL) AS x, count(value) AS n, sum(value) AS s, sum(value * value) AS q FROM s),
 g AS (
   SELECT 0 AS a, 0 AS b, n, s, q FROM o
   UNION ALL
