@@ -17,13 +17,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have."""
-    while name in df.columns:
-        name = "_" + name
-    return name
-
-
 def keyed_schema(df: DataFrame, key: str, rest: str) -> T.StructType:
     """A schema of the key, as ``key`` and of its own type, and further columns."""
     return T.StructType([T.StructField("key", df.schema[key].dataType), *T.StructType.fromDDL(rest).fields])
