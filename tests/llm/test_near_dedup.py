@@ -119,3 +119,15 @@ def test_recall_against_brute_force(spark):
     linked = {i for p in pairs for i in p}
     size = Counter(group[k] for k in first.values())
     assert all(size[group[first[t]]] == 1 or i in linked for i, t in enumerate(texts))
+
+
+def test_signatures_do_not_depend_on_draws_at_once_or_on_the_batch(monkeypatch):
+    rng = np.random.default_rng(5)
+    doc = np.repeat(np.arange(20), 30)
+    item = rng.integers(1, 1 << 40, len(doc)).astype(np.uint64)
+    weight = (rng.pareto(1, len(doc)) * 3 + 1).astype(np.int64).clip(1, 2000)
+    many = minhash_dedup.bag_minhash(doc, item, weight, 20, 125)
+    alone = [minhash_dedup.bag_minhash(doc[doc == d] * 0, item[doc == d], weight[doc == d], 1, 125) for d in range(20)]
+    assert (many == np.concatenate(alone)).all()
+    monkeypatch.setattr(minhash_dedup, "_DRAWS", 1)
+    assert (many == minhash_dedup.bag_minhash(doc, item, weight, 20, 125)).all()

@@ -52,6 +52,8 @@ BLOCK = 256
 STAR = 512
 #: So many bands at most meet a broadcast; the places of any other are no more than their share of all.
 HOT_BANDS = 20_000
+#: Draws of a node at once at most, which bounds the memory of a round.
+_DRAWS = 64
 _G = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(0xD1B54A32D192ED03)
 
@@ -74,36 +76,52 @@ def shingles(texts: list[str | None], width: int = WORDS) -> tuple[np.ndarray, n
 
 
 def bag_minhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
-    """n x m slot minima; rows of texts without items are infinite."""
+    """n x m slot minima; rows of texts without items are infinite.
+
+    Each draw gives a time by its upper 40 bits and a slot by its lower 24.  A
+    text's horizon sinks to its latest slot minimum as soon as all slots are
+    taken, as no later point can count.  Draws of a node are numbered, and
+    times are summed in their order, so it does not matter how many are made
+    at once: about as many as are still ahead.
+    """
     total = np.bincount(doc, weight, n)
     least = np.full(n * m, np.inf)
-    horizon = np.where(total > 0, m * (math.log(m) + 6) / np.maximum(total, 1), 0)
+    table = least.reshape(n, m)
+    begin = np.where(total > 0, m * (math.log(m) + 4) / np.maximum(total, 1), 0)
     rows = np.arange(len(doc))
     while len(rows):
+        horizon = np.minimum(begin, table.max(1))
         k, nodes = 0, rows
         while len(nodes):
             d, w = doc[nodes], weight[nodes]
             seed = mix(item[nodes] * _G + np.uint64(k + 1))
-            time, draw = np.zeros(len(nodes)), 0
+            time, drawn = np.zeros(len(nodes)), 0
             while len(d):
-                draw = (draw + int(_G)) % 2**64
-                r = mix(seed + np.uint64(draw))
-                time = time - np.log(((r >> np.uint64(11)) + np.uint64(1)) * 2.0**-53) / (1 << k)
-                on = time <= horizon[d]
-                d, w, seed, time, r = d[on], w[on], seed[on], time[on], r[on]
-                s = mix(r ^ _SLOT)
-                slot = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+                end = horizon[d]
+                many = int(min(max((end - time).mean() * (1 << k), 1), _DRAWS))
+                r = mix(seed[:, None] + np.arange(drawn + 1, drawn + many + 1, dtype=np.uint64) * _G)
+                drawn += many
+                gap = np.log(((r >> np.uint64(24)) + np.uint64(1)) * 2.0**-40) * (-1.0 / (1 << k))
+                gap[:, 0] += time
+                at_time = np.cumsum(gap, 1) if many > 1 else gap
+                on = np.flatnonzero(at_time <= end[:, None])
+                point, r = at_time.ravel()[on], r.ravel()[on]
+                whose = on // many if many > 1 else on
+                at = d[whose] * m + ((r & np.uint64((1 << 24) - 1)) * np.uint64(m) >> np.uint64(24)).astype(np.int64)
                 if k:
-                    low = (s & np.uint64((1 << k) - 1)).astype(np.int64) + (1 << k) <= w
-                    np.minimum.at(least, d[low] * m + slot[low], time[low])
-                else:
-                    np.minimum.at(least, d * m + slot, time)
+                    low = (mix(r ^ _SLOT) & np.uint64((1 << k) - 1)).astype(np.int64) + (1 << k) <= w[whose]
+                    at, point = at[low], point[low]
+                np.minimum.at(least, at, point)
+                if len(d) > n:
+                    np.minimum(horizon, table.max(1), out=horizon)
+                ahead = np.flatnonzero(at_time[:, -1] <= horizon[d])
+                d, w, seed, time = d[ahead], w[ahead], seed[ahead], at_time[ahead, -1]
             k += 1
             nodes = nodes[weight[nodes] >= 1 << k]
-        short = np.isinf(least.reshape(n, m)).any(1) & (total > 0)
-        horizon *= 2
+        short = np.isinf(table).any(1) & (total > 0)
+        begin *= 2
         rows = np.flatnonzero(short[doc])
-    return least.reshape(n, m)
+    return table
 
 
 def _sign(bands: int, rows: int):
