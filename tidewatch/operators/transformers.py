@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..core.model import Params, SeriesModel, aggregate, temp
 from ..core.spec import US, SeriesSpec, clean_double, divide, duration_us
-from ..functions.frames import check_agg, is_vector, least_periods, trailing, windowed, windowed_vector
+from ..functions.frames import Span, check_agg, is_vector, least_periods, summed, trailing, windowed, windowed_vector
 from .linalg import Linear, Pca
 
 DIFFS = ("l1", "l2", "diff", "rel_diff", "abs_rel_diff")
@@ -64,6 +64,7 @@ class RollingAggregate(_Transformer):
             v = F.col(f"`{c}`")
             if not is_vector(self.agg, params):
                 out.append((c, temp(tag, "roll", i)))
+                df, v = summed(df, spec, v, w, self.agg, temp(tag, "sum", i))
                 made[out[-1][1]] = windowed(v, w, self.agg, params, periods, isinstance(self.window, int))
                 continue
             edges = None
@@ -118,8 +119,8 @@ class DoubleRollingAggregate(_Transformer):
         left, right = self._pair(self.window)
         w = spec.window()
         if self.center:
-            a = w.rangeBetween(-duration_us(left), -1) if isinstance(left, str) else w.rowsBetween(-left, -1)
-            b = w.rangeBetween(0, duration_us(right) - 1) if isinstance(right, str) else w.rowsBetween(0, right - 1)
+            a = Span(w, -duration_us(left), -1) if isinstance(left, str) else w.rowsBetween(-left, -1)
+            b = Span(w, 0, duration_us(right) - 1) if isinstance(right, str) else w.rowsBetween(0, right - 1)
             return (a, 0), (b, 0)
         b = trailing(spec, right)
         if isinstance(right, int):
@@ -127,7 +128,7 @@ class DoubleRollingAggregate(_Transformer):
         if isinstance(left, int):
             return (trailing(spec, left), -duration_us(right)), (b, 0)
         over = duration_us(right)
-        return (w.rangeBetween(-(duration_us(left) + over - 1), -over), 0), (b, 0)
+        return (Span(w, -(duration_us(left) + over - 1), -over), 0), (b, 0)
 
     def sides(self, df: DataFrame, spec: SeriesSpec, col: str, tag: str) -> tuple[DataFrame, list[list[Column]]]:
         """Components of the left and the right aggregate; both frames share one sort."""
@@ -148,6 +149,7 @@ class DoubleRollingAggregate(_Transformer):
                     df, edges = bin_edges(df, spec, col, params["bins"], f"{tag}{side}")
                 parts = [c for _, c in windowed_vector(v, frame, agg, params, periods, edges)]
             else:
+                df, v = summed(df, spec, v, frame, agg, temp(tag, "sum", side))
                 parts = [windowed(v, frame, agg, params, periods, isinstance(width, int))]
             names = [temp(tag, side, i) for i in range(len(parts))]
             made |= dict(zip(names, parts))
