@@ -19,6 +19,10 @@ from .linalg import Linear, Pca
 DIFFS = ("l1", "l2", "diff", "rel_diff", "abs_rel_diff")
 
 
+class NoPeriodError(RuntimeError):
+    """The autocorrelation of a regular series has no peak that is high enough."""
+
+
 class _Transformer(SeriesModel):
     kind = "transformer"
 
@@ -240,7 +244,7 @@ class ClassicSeasonalDecomposition(_Transformer):
             self.profiles_[c] = Params(spec, self._profile(df, spec, c), ["datum", "step", "period", "profile"])
             if not spec.keys:
                 if (row := self.profiles_[c].row) is None or row["period"] is None:
-                    raise RuntimeError("no period was found, or no regular step of time")
+                    raise NoPeriodError("no period was found")
                 if self.trend and row["n"] < 2 * row["period"]:
                     raise RuntimeError("a trend needs two whole periods")
                 self.freq_, self.seasonal_ = int(row["period"]), list(row["profile"])
@@ -557,7 +561,7 @@ class PcaReconstructionError(_PcaTransformer):
 
 
 __all__ = [
-    "ClassicSeasonalDecomposition", "CustomizedTransformer1D", "CustomizedTransformerHD", "DoubleRollingAggregate",
+    "ClassicSeasonalDecomposition", "CustomizedTransformer1D", "CustomizedTransformerHD", "DoubleRollingAggregate", "NoPeriodError",
     "PcaProjection", "PcaReconstruction", "PcaReconstructionError", "RegressionResidual", "Retrospect",
     "RollingAggregate", "StandardScale", "SumAll", "find_period",
 ]

@@ -278,8 +278,12 @@ def _weekly(df: DataFrame) -> DataFrame:
 
 
 def _acf(spark, sf):
+    """What remains without the season, and the period; no rows where the series has no period."""
     df = _weekly(daily(spark, sf))
-    model = T.ClassicSeasonalDecomposition().fit(df, CLEAN)
+    try:
+        model = T.ClassicSeasonalDecomposition().fit(df, CLEAN)
+    except T.NoPeriodError:
+        return df.where(F.lit(False)).select("ts", "clean", F.lit(None).cast("long").alias("period"))
     return rounded(model.transform(df, CLEAN).withColumn("period", F.lit(model.freq_).cast("long")))
 
 
